@@ -18,11 +18,15 @@ def composition(col: Column, alphabet: str = STANDARD_ALPHABET) -> Column:
 
     Null when the text has none of them, which the caller reports as an error.
     """
-    text = F.upper(strip(col))
-    size = F.length(text)
-    counts = F.array(*[size - F.length(F.replace(text, F.lit(ch), F.lit(""))) for ch in alphabet])
-    total = F.length(F.regexp_replace(text, f"[^{alphabet}]", "")).cast("double")
-    return F.when(total > 0, F.transform(counts, lambda n: n / total))
+    def shares(text: Column) -> Column:
+        kept = F.length(text)
+        counts = F.array(*[kept - F.length(F.replace(text, F.lit(ch), F.lit(""))) for ch in alphabet])
+        return F.transform(counts, lambda n: n / kept.cast("double"))
+
+    # The one-element array binds the cleaned text, so it is computed once.
+    letters = F.regexp_replace(F.upper(col), f"[^{alphabet}]+", "")
+    bound = F.transform(F.array(letters), lambda t: F.when(F.length(t) > 0, shares(t)))
+    return F.element_at(bound, 1)
 
 
 def window_starts(length: Column, size: int, stride: int) -> Column:

@@ -64,9 +64,13 @@ def split_ambiguous(
 
 
 def label_pairs(
-    observations: DataFrame, polarity: str = "polarity", negative_class: str = "negative_class"
+    observations: DataFrame,
+    polarity: str = "polarity",
+    negative_class: str = "negative_class",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per pair with label, class, status and exclusion reason."""
+    """One row per pair with label, class, status and exclusion reason, from
+    one aggregation; ``extra`` adds aliased aggregates to it."""
     positive = F.col(polarity) == "positive"
     negative = F.col(polarity) == "negative"
     flags = observations.groupBy("pair_id", "node_a", "node_b").agg(
@@ -75,6 +79,7 @@ def label_pairs(
         F.bool_or(~positive & ~negative).alias("_other"),
         F.bool_or(negative & (F.col(negative_class) == "curated_negative")).alias("_curated"),
         F.count(F.lit(1)).alias("n_evidence"),
+        *extra,
     )
     only_pos = F.col("_pos") & ~F.col("_neg") & ~F.col("_other")
     only_neg = F.col("_neg") & ~F.col("_pos") & ~F.col("_other")
@@ -95,7 +100,7 @@ def label_pairs(
         .when(labelled, F.lit(""))
         .otherwise(F.lit("positive_negative_contradiction"))
         .alias("exclusion_reason"),
-        "n_evidence",
+        *flags.columns[flags.columns.index("n_evidence"):],
     )
 
 

@@ -69,7 +69,7 @@ def read_snapshot(
     """
     raw = read_table(spark, path, list(columns), sep=sep)
     records = raw.select(*[strip(F.col(f"`{src}`")).alias(dst) for src, dst in columns.items()])
-    records = records.repartition(partitions) if partitions else records.repartition()
+    records = records.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = [violations(records, [key], rules)] if rules else []
     found.append(duplicate_keys(records, [key], "duplicate_record"))
     if expected_rows is not None:
