@@ -396,7 +396,7 @@ def expected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCES_SQL = """
 sequences as (
   select concat('DOC', lpad(cast(doc_id as varchar), 6, '0')) as entity_id,
-         case when source = 'src_0' then '10090' else '9606' end as taxid,
+         case when source = 'src0' then '10090' else '9606' end as taxid,
          upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as sequence, doc_id
   from documents),
 proteins as (
@@ -410,7 +410,7 @@ def sequence_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequence records, some with wrong lengths or digests."""
     base = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("DOC"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("entity_id"),
-        F.when(F.col("source") == "src_0", F.lit("10090")).otherwise(F.lit("9606")).alias("taxid"),
+        F.when(F.col("source") == "src0", F.lit("10090")).otherwise(F.lit("9606")).alias("taxid"),
         F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"),
         "doc_id",
     )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pairloom.plans import expression_queries  # noqa: F401
+from pairloom.plans import (  # noqa: F401
+    expression_queries,
+    identifier_queries,
+    pair_queries,
+)
 from pairloom.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
