@@ -6,6 +6,7 @@ from pairloom.plans import (  # noqa: F401
     expression_queries,
     identifier_queries,
     pair_queries,
+    ranking_queries,
 )
 from pairloom.plans.catalog import ORACLES, QUERIES
 
