@@ -8,16 +8,24 @@ reduced to (group, scores, label).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.keys import unit_hash
-from pairloom.operators.ordered import quantiles, running_totals
-from pairloom.operators.ranking import _average_precision, score_groups
+from pairloom.operators.ordered import (
+    ONE_TASK_ROWS,
+    bounded_running_totals,
+    largest_group,
+    quantiles,
+    running_totals,
+    sliced_running_totals,
+    with_slices,
+)
+from pairloom.operators.ranking import average_precision_of_groups
 from pairloom.operators.rules import union_all
-from pairloom.runtime import stage
+from pairloom.runtime import spread, stage
 
 
 def numbered_groups(df: DataFrame, by: Sequence[str], group: str) -> DataFrame:
@@ -35,7 +43,7 @@ def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, se
     Every group row produces the draws that carry its own number, so the draw
     list is generated in parallel from the group table itself.
     """
-    draws = groups.select(
+    draws = spread(groups).select(
         *by,
         "n_groups",
         F.col("group_no").alias("draw"),
@@ -45,7 +53,9 @@ def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, se
     counted = draws.groupBy(*by, "replicate", taken.alias("group_no")).agg(
         F.count(F.lit(1)).alias("draws")
     )
-    return counted.join(groups.select(*by, "group_no", "bootstrap_group"), [*by, "group_no"]).drop("group_no")
+    named = counted.join(groups.select(*by, "group_no", "bootstrap_group"), [*by, "group_no"])
+    # Either side of the next join may be the streamed one, and it multiplies rows.
+    return spread(named.drop("group_no"))
 
 
 def replicate_average_precision(
@@ -55,44 +65,47 @@ def replicate_average_precision(
     replicates: int,
     seed: int,
     group: str = "bootstrap_group",
-    batch: int = 200,
+    batch: int = 2000,
 ) -> DataFrame:
     """(by, replicate, score_name, average_precision) per replicate.
 
-    Replicates run in batches; each batch's result, which is one short row per
-    replicate, is staged before the next begins.
+    The score order is the same in every replicate, so the range slices of the
+    running totals are fixed once on the distinct scores; a replicate only
+    brings new weights. With more replicates than ``batch``, each batch's
+    result, one short row per replicate, is staged before the next begins.
     """
     by = list(by)
     groups = stage(numbered_groups(df, by, group), "groups")
-    long = df.select(
-        *by,
-        F.col(group).alias("bootstrap_group"),
-        "label",
-        F.explode(
-            F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in scores])
-        ).alias("s"),
-    ).select(*by, "bootstrap_group", "label", "s.score_name", "s.score")
+    sides = F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in scores])
+    long = df.select(*by, F.col(group).alias("bootstrap_group"), "label", F.explode(sides).alias("s"))
     reduced = stage(
-        long.groupBy(*by, "bootstrap_group", "score_name", "score").agg(
+        long.groupBy(*by, "bootstrap_group", "s.score_name", "s.score").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("positives")
         ),
         "reduced",
     )
-    keys = [*by, "replicate", "score_name"]
+    distinct = reduced.select(*by, "score_name", "score").distinct()
+    order = [F.col("score").desc()]
+    sliced = with_slices(distinct, [*by, "score_name"], order)
+    # A replicate has at most as many score groups as the data itself.
+    small = largest_group(sliced, [*by, "score_name"]) <= ONE_TASK_ROWS
+    totals = bounded_running_totals if small else sliced_running_totals
+    cells = spread(reduced.join(sliced, [*by, "score_name", "score"]))
+    # The replicate leads the sort keys: it separates rows best.
+    keys = ["replicate", *by, "score_name"]
     parts = []
     for first in range(0, replicates, batch):
         weights = draw_weights(groups, by, first, min(first + batch, replicates), seed)
         counts = (
-            reduced.join(weights, [*by, "bootstrap_group"])
-            .groupBy(*keys, "score")
+            cells.join(weights, [*by, "bootstrap_group"])
+            .groupBy(*keys, "_slice", "score")
             .agg(
                 F.sum(F.col("n") * F.col("draws")).alias("n"),
                 F.sum(F.col("positives") * F.col("draws")).alias("positives"),
             )
         )
-        done = score_groups(counts, keys).groupBy(*keys).agg(
-            _average_precision().alias("average_precision")
-        )
+        run = totals(counts, keys, order, ["n", "positives"])
+        done = run.groupBy(*keys).agg(average_precision_of_groups().alias("average_precision"))
         parts.append(stage(done, "replicates"))
     return union_all(parts)
 
@@ -134,19 +147,27 @@ def bootstrap_delta(
     return interval(paired, by, "delta", replicates)
 
 
-def bootstrap_mean(
-    df: DataFrame, by: Sequence[str], value: Column, replicates: int, seed: int, group: str = "bootstrap_group"
+def bootstrap_means(
+    df: DataFrame,
+    by: Sequence[str],
+    values: Mapping[str, Column],
+    replicates: int,
+    seed: int,
+    group: str = "bootstrap_group",
 ) -> DataFrame:
-    """Interval of a mean of row values under the group bootstrap."""
+    """(by, measure, interval) of the means of named row values, all measures
+    on the same draws."""
     by = list(by)
     groups = stage(numbered_groups(df, by, group), "groups")
-    reduced = df.groupBy(*by, F.col(group).alias("bootstrap_group")).agg(
-        F.sum(value).alias("s"), F.count(value).alias("n")
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("double").alias("v")) for m, v in values.items()])
+    reduced = (
+        df.select(*by, F.col(group).alias("bootstrap_group"), F.explode(cells).alias("c"))
+        .groupBy(*by, "bootstrap_group", "c.measure")
+        .agg(F.sum("c.v").alias("s"), F.count("c.v").alias("n"))
     )
     weights = draw_weights(groups, by, 0, replicates, seed)
+    mean = F.try_divide(F.sum(F.col("s") * F.col("draws")), F.sum(F.col("n") * F.col("draws")))
     means = (
-        reduced.join(weights, [*by, "bootstrap_group"])
-        .groupBy(*by, "replicate")
-        .agg(F.try_divide(F.sum(F.col("s") * F.col("draws")), F.sum(F.col("n") * F.col("draws"))).alias("mean"))
+        reduced.join(weights, [*by, "bootstrap_group"]).groupBy(*by, "measure", "replicate").agg(mean.alias("mean"))
     )
-    return interval(means, by, "mean", replicates)
+    return interval(stage(means, "means"), [*by, "measure"], "mean", replicates)

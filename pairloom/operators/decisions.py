@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.bootstrap import bootstrap_average_precision, bootstrap_delta, bootstrap_mean
+from pairloom.operators.bootstrap import bootstrap_average_precision, bootstrap_delta, bootstrap_means
 from pairloom.operators.coverage import align, select_cohort
 from pairloom.operators.ranking import average_precision, metrics
 from pairloom.operators.rules import union_all
@@ -225,18 +225,16 @@ def noninferiority(
     def check(frame: DataFrame, value: Column, name: str, bound: float) -> DataFrame:
         return frame.select(F.lit(name).alias("check"), value.cast("double").alias("value"), F.lit(bound).alias("bound"))
 
+    bounds = bootstrap_means(df, [], {"delta": delta, "share": share}, replicates, seed, group)
     rows = union_all(
         [
             check(points, F.col("d"), "point_delta", limits["point"]),
             check(
-                bootstrap_mean(df, [], delta, replicates, seed, group),
-                F.col("lower_95"),
-                "lower_95_delta",
-                limits["point"],
+                bounds.where(F.col("measure") == "delta"), F.col("lower_95"), "lower_95_delta", limits["point"]
             ),
             check(points, F.col("s"), "acceptable_share_delta", limits["fraction"]),
             check(
-                bootstrap_mean(df, [], share, replicates, seed, group),
+                bounds.where(F.col("measure") == "share"),
                 F.col("lower_95"),
                 "lower_95_acceptable_share",
                 limits["fraction"],

@@ -19,19 +19,22 @@ def _slices(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
-) -> DataFrame:
-    """Add ``cum_<v>`` (inclusive running total) and ``all_<v>`` (group total).
+def with_slices(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Stage ``df`` with ``_slice``: contiguous ranges of (by, order).
 
-    ``(by, order)`` must be unique and ``by`` non-null. The range slices are
-    staged, because a slice number must not change between its two uses.
+    Staged, because a slice number must be the same wherever it is used.
     """
+    ranged = df.repartitionByRange(_slices(df), *[F.col(c) for c in by], *order)
+    return stage(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def sliced_running_totals(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
+) -> DataFrame:
+    """``running_totals`` of a table that already carries ``_slice``."""
     by = list(by)
-    group_cols = [F.col(c) for c in by]
-    ranged = df.repartitionByRange(_slices(df), *group_cols, *order)
-    held = stage(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
-    totals = held.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    totals = df.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    # At most one row per slice and group meets here.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -45,13 +48,47 @@ def running_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return held.join(offsets, [*by, "_slice"]).select(
-        *df.columns,
+    columns = [c for c in df.columns if c != "_slice"]
+    return df.join(offsets, [*by, "_slice"]).select(
+        *columns,
         *[(F.sum(v).over(inside) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values],
         *[F.col(f"all_{v}") for v in values],
     )
 
 
+# Largest group one task sorts when its size was checked beforehand.
+ONE_TASK_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group: one number on the driver."""
+    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return row[0] or 0
+
+
+def bounded_running_totals(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
+) -> DataFrame:
+    """``running_totals`` for groups checked to hold at most ONE_TASK_ROWS."""
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(
+        *[c for c in df.columns if c != "_slice"],
+        *[F.sum(v).over(upto).alias(f"cum_{v}") for v in values],
+        *[F.sum(v).over(group).alias(f"all_{v}") for v in values],
+    )
+
+
+def running_totals(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
+) -> DataFrame:
+    """Add ``cum_<v>`` (inclusive running total) and ``all_<v>`` (group total).
+
+    ``(by, order)`` must be unique and ``by`` non-null.
+    """
+    return sliced_running_totals(with_slices(df, by, order), by, order, values)
+
+
 def hash_ranked(
     df: DataFrame, by: Sequence[str], hash_key: str, tie: str, limit: DataFrame, limit_col: str
 ) -> DataFrame:

@@ -34,7 +34,8 @@ def score_groups(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return running_totals(counts, by, [F.col("score").desc()], ["n", "positives"])
 
 
-def _average_precision() -> Column:
+def average_precision_of_groups() -> Column:
+    """Aggregate over the score groups of one slice."""
     share = F.col("positives") / F.col("all_positives")
     return F.when(
         F.max("all_positives") > 0,
@@ -116,7 +117,7 @@ def metrics_from_groups(groups: DataFrame, by: Sequence[str]) -> DataFrame:
         positives.alias("positives"),
         (n - positives).alias("negatives"),
         (positives / n).alias("prevalence"),
-        _average_precision().alias("average_precision"),
+        average_precision_of_groups().alias("average_precision"),
         _pr_auc().alias("pr_auc_trapezoid"),
         _auroc().alias("auroc"),
         _expected_hits(F.lit(50)).alias("_h50"),
@@ -160,7 +161,7 @@ def metrics(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) ->
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     groups = score_groups(score_counts(df, by, weight=weight), by)
-    return groups.groupBy(*by).agg(_average_precision().alias("average_precision"))
+    return groups.groupBy(*by).agg(average_precision_of_groups().alias("average_precision"))
 
 
 def metric_at_k(df: DataFrame, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.keys import unit_hash
 from pairloom.operators.rules import Rule, duplicate_keys, missing_keys, union_all, violations
-from pairloom.runtime import stage
+from pairloom.runtime import spread, stage
 
 # Partitions and the target shares of the split objective.
 PARTITIONS = ("train", "validation", "test")
@@ -105,7 +105,7 @@ def _packed(cluster: Column, first: int, last: int, targets: Mapping[str, float]
 
 def _per_seed(df: DataFrame, first: int, last: int, keep: Sequence[str]) -> DataFrame:
     """(seed, bits, keep...) from a packed ``words`` column."""
-    words = df.select(*keep, F.posexplode("words").alias("_w", "word"))
+    words = spread(df).select(*keep, F.posexplode("words").alias("_w", "word"))
     rows = words.select(*keep, "_w", "word", F.explode(F.sequence(F.lit(0), F.lit(SEEDS_PER_WORD - 1))).alias("_k"))
     seed = F.lit(first) + F.col("_w") * SEEDS_PER_WORD + F.col("_k")
     return rows.select(*keep, seed.alias("seed"), F.expr("shiftright(word, 3 * _k) & 7").alias("bits")).where(
@@ -137,9 +137,8 @@ def split_candidates(
         "cells",
     )
     clusters = stage(
-        entities.groupBy("cluster_id")
-        .agg(F.count(F.lit(1)).alias("entities"))
-        .withColumn("words", _packed(F.col("cluster_id"), first, last, node_targets)),
+        spread(entities.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("entities"))).withColumn("words", _packed(F.col("cluster_id"), first, last, node_targets)
+        ),
         "packed",
     )
     lo = clusters.select(F.col("cluster_id").alias("lo"), F.col("words").alias("words_lo"))

@@ -54,3 +54,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions before a step that multiplies rows: a small table may
+    sit in one partition, and one shuffle of it costs little next to the step."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
