@@ -7,6 +7,7 @@ from pairloom.plans import (  # noqa: F401
     identifier_queries,
     pair_queries,
     ranking_queries,
+    split_queries,
 )
 from pairloom.plans.catalog import ORACLES, QUERIES
 
