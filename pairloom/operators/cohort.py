@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.keys import selection_key
 from pairloom.operators.ordered import hash_ranked
 from pairloom.operators.rules import Rule, duplicate_keys, missing_keys, union_all, violations
+from pairloom.runtime import stage
 
 # Cohort names, which negative class each balanced cohort takes
 # (None takes all), and the negative classes that may occur.
@@ -50,7 +51,7 @@ def build_cohorts(expected: DataFrame, seed: int = 20260915) -> tuple[DataFrame,
     A balanced cohort has all negatives of its stratum and as many positives,
     those with the smallest seeded hash in that cohort and partition.
     """
-    base = expected.where(F.col("partition").isin(*EVALUATION_PARTITIONS)).select(
+    rows = expected.where(F.col("partition").isin(*EVALUATION_PARTITIONS)).select(
         "partition",
         "pair_id",
         "label",
@@ -59,6 +60,8 @@ def build_cohorts(expected: DataFrame, seed: int = 20260915) -> tuple[DataFrame,
         .otherwise(F.col("complex_group_id"))
         .alias("bootstrap_group"),
     )
+    # Read by every cohort below, so derived once.
+    base = stage(rows, "cohort-base")
     names = [F.struct(F.lit(n).alias("cohort"), F.lit(c).cast("string").alias("stratum")) for n, c in BALANCED_COHORTS.items()]
     spread = base.select("*", F.explode(F.array(*names)).alias("c")).select("c.cohort", "c.stratum", *base.columns)
     in_stratum = F.col("stratum").isNull() | (F.col("evidence_class") == F.col("stratum"))
@@ -70,7 +73,7 @@ def build_cohorts(expected: DataFrame, seed: int = 20260915) -> tuple[DataFrame,
     keyed = positives.withColumn("_key", selection_key(seed, F.col("cohort"), F.col("pair_id")))
     chosen = hash_ranked(keyed, by, "_key", "pair_id", needed, "n_negatives").drop("_key")
 
-    def rows(df: DataFrame, reason: str, rank) -> DataFrame:
+    def member_rows(df: DataFrame, reason: str, rank) -> DataFrame:
         return df.select(
             *by,
             "pair_id",
@@ -84,9 +87,9 @@ def build_cohorts(expected: DataFrame, seed: int = 20260915) -> tuple[DataFrame,
     none = F.lit(None)
     membership = union_all(
         [
-            rows(base.withColumn("cohort", F.lit(FULL_COHORT)), "all_c3_explicit_labeled_pairs", none),
-            rows(negatives, "all_explicit_negatives", none),
-            rows(chosen, "deterministic_positive_sample", F.col("hash_rank")),
+            member_rows(base.withColumn("cohort", F.lit(FULL_COHORT)), "all_c3_explicit_labeled_pairs", none),
+            member_rows(negatives, "all_explicit_negatives", none),
+            member_rows(chosen, "deterministic_positive_sample", F.col("hash_rank")),
         ]
     )
     sizes = spread.groupBy(*by).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pairloom.plans import (  # noqa: F401
     expression_queries,
     identifier_queries,
+    model_queries,
     pair_queries,
     ranking_queries,
     split_queries,

@@ -42,6 +42,7 @@ from pairloom.plans.adapters import (
     unit_sql,
 )
 from pairloom.plans.catalog import query
+from pairloom.runtime import stage
 
 # ------------------------------------------------------------------- split
 
@@ -204,7 +205,7 @@ membership as (
 
 
 def cohorts(spark: SparkSession, d: str) -> DataFrame:
-    pairs = eligible_pairs(spark, d)
+    pairs = stage(eligible_pairs(spark, d), "eligible")
     splits = make_split(pairs, entities(spark, d), SPLIT_SEED)["splits"]
     expected, _ = expected_pairs(pairs, splits)
     membership, _ = build_cohorts(expected, COHORT_SEED)
@@ -277,7 +278,8 @@ bad_nodes as (
   select entity_id, case when entity_id = 'N0777' then '' else cluster_id end as cluster_id from nodes where entity_id <> 'N0001'),
 bad_splits as (
   select 'c3_primary' as split_scheme, '0' as fold, pair_id,
-         case when node_b = 'N0321' then 'test' when node_a = 'N0222' then 'extra' else pool_a end as partition,
+         case when node_b = 'N0321' then 'test' when node_a = 'N0222' then 'extra'
+              when complex_group_id <> '' and node_b > 'N0600' then 'validation' else pool_a end as partition,
          case when pool_a = 'test' and node_a > 'N0800' then '' when pool_a = 'train' then '' else 'C3' end as pm_class
   from decided where reason = '' or node_b = 'N0654'),
 ids as (
@@ -319,7 +321,11 @@ def broken_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.lit("c3_primary").alias("split_scheme"),
         F.lit("0").alias("fold"),
         "pair_id",
-        F.when(b == "N0321", F.lit("test")).when(a == "N0222", F.lit("extra")).otherwise(pool).alias("partition"),
+        F.when(b == "N0321", F.lit("test"))
+        .when(a == "N0222", F.lit("extra"))
+        .when((F.col("complex_group_id") != "") & (b > "N0600"), F.lit("validation"))
+        .otherwise(pool)
+        .alias("partition"),
         F.when(((pool == "test") & (a > "N0800")) | (pool == "train"), F.lit("")).otherwise(F.lit("C3")).alias("pm_class"),
     )
     node = F.element_at(F.split("pair_id", "_"), 2)
@@ -334,7 +340,9 @@ def broken_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(node == "N0402", F.lit("maybe")).otherwise(F.col("polarity")).alias("polarity"),
         "negative_definition",
     )
-    return {"pairs": bad_pairs, "entities": bad_nodes, "splits": bad_splits, "evidence": bad_evidence}
+    tables = {"pairs": bad_pairs, "entities": bad_nodes, "splits": bad_splits, "evidence": bad_evidence}
+    # A validator reads stored tables; store these once instead of deriving them per rule.
+    return {name: stage(df, f"broken-{name}") for name, df in tables.items()}
 
 
 def by_rule(found: DataFrame) -> DataFrame:
