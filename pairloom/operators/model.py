@@ -69,41 +69,58 @@ class LogisticFit:
         return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def fit_logistic(df: DataFrame, c: float, weighted: bool = True) -> LogisticFit:
-    """L2 logistic regression minimising 0.5 w'w + C * sum of weighted losses.
+@dataclass(frozen=True)
+class Training:
+    """Scaled, weighted rows, staged once for any number of fits."""
 
-    Spark averages the loss, so its penalty is 1 / (C n); balanced weights sum
-    to n. Features are scaled here with the population SD.
-    """
+    means: list[float]
+    scales: list[float]
+    n: int
+    rows: DataFrame
+
+
+def prepare(df: DataFrame, weighted: bool = True) -> Training:
     means, scales = scaling(df)
     n = class_counts(df).agg(F.sum("n")).first()[0]
     rows = balanced_weights(df) if weighted else df.withColumn("weight", F.lit(1.0))
-    shell = LogisticFit(means, scales, None)
     ready = rows.select(
         F.col("label").cast("double").alias("label"),
         "weight",
-        array_to_vector(shell.scaled(F.col("features"))).alias("_x"),
+        array_to_vector(LogisticFit(means, scales, None).scaled(F.col("features"))).alias("_x"),
     )
+    return Training(means, scales, n, stage(ready, "train"))
+
+
+def fit_prepared(training: Training, c: float) -> LogisticFit:
+    """L2 logistic regression minimising 0.5 w'w + C * sum of weighted losses.
+
+    Spark averages the loss, so its penalty is 1 / (C n); balanced weights sum
+    to n. Features were scaled with the population SD.
+    """
     solver = LogisticRegression(
         featuresCol="_x",
         labelCol="label",
         weightCol="weight",
-        regParam=1.0 / (c * n),
+        regParam=1.0 / (c * training.n),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=MAX_ITERATIONS,
         tol=TOLERANCE,
     )
-    return LogisticFit(means, scales, solver.fit(ready))
+    return LogisticFit(training.means, training.scales, solver.fit(training.rows))
+
+
+def fit_logistic(df: DataFrame, c: float, weighted: bool = True) -> LogisticFit:
+    return fit_prepared(prepare(df, weighted), c)
 
 
 def grid_scores(train: DataFrame, selection: DataFrame, grid: Sequence[float] = C_GRID) -> DataFrame:
     """(c, average_precision) on the selection rows for every grid value."""
-    held = stage(train.select("label", "features"), "train")
+    training = prepare(train)
     scored = []
     for c in grid:
-        fit = fit_logistic(held, c)
-        scored.append(fit.score(selection).select(F.lit(float(c)).alias("c"), "label", "score"))
+        rows = fit_prepared(training, c).score(selection)
+        scored.append(rows.select(F.lit(float(c)).alias("c"), "label", "score"))
     return average_precision(union_all(scored), ["c"])
 
 

@@ -278,10 +278,9 @@ bad_nodes as (
   select entity_id, case when entity_id = 'N0777' then '' else cluster_id end as cluster_id from nodes where entity_id <> 'N0001'),
 bad_splits as (
   select 'c3_primary' as split_scheme, '0' as fold, pair_id,
-         case when node_b = 'N0321' then 'test' when node_a = 'N0222' then 'extra'
-              when complex_group_id <> '' and node_b > 'N0600' then 'validation' else pool_a end as partition,
+         case when node_b = 'N0321' then 'test' when node_a = 'N0222' then 'extra' else pool_a end as partition,
          case when pool_a = 'test' and node_a > 'N0800' then '' when pool_a = 'train' then '' else 'C3' end as pm_class
-  from decided where reason = '' or node_b = 'N0654'),
+  from decided where reason in ('', 'complex_group_cross_partition_quarantine') or node_b = 'N0654'),
 ids as (
   select distinct concat('EVI_', substr(sha256(concat_ws(chr(31), source_database, source_version, source_record_id,
            pair_id, polarity, detection_method)), 1, 20)) as evidence_id, pair_id, source_database, source_version,
@@ -295,8 +294,8 @@ bad_evidence as (
   from (select *, split_part(pair_id, '_', 2) as node from ids) where node <> 'N0403')"""
 
 
-def broken_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The corrupted tables of BROKEN_SQL."""
+def broken_tables(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """The named corrupted tables of BROKEN_SQL."""
     pairs, nodes = labelled_pairs(spark, d), entities(spark, d)
     a, b = F.col("node_a"), F.col("node_b")
     doubled = pairs.unionByName(pairs.where(a == "N0123"))
@@ -317,13 +316,14 @@ def broken_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     decided = retain_pairs(located_pairs(eligible_pairs(spark, d), nodes), SPLIT_SEED)
     pool = F.col("pool_a")
-    bad_splits = decided.where((F.col("reason") == "") | (b == "N0654")).select(
+    bad_splits = decided.where(
+        F.col("reason").isin("", "complex_group_cross_partition_quarantine") | (b == "N0654")
+    ).select(
         F.lit("c3_primary").alias("split_scheme"),
         F.lit("0").alias("fold"),
         "pair_id",
         F.when(b == "N0321", F.lit("test"))
         .when(a == "N0222", F.lit("extra"))
-        .when((F.col("complex_group_id") != "") & (b > "N0600"), F.lit("validation"))
         .otherwise(pool)
         .alias("partition"),
         F.when(((pool == "test") & (a > "N0800")) | (pool == "train"), F.lit("")).otherwise(F.lit("C3")).alias("pm_class"),
@@ -342,7 +342,7 @@ def broken_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     tables = {"pairs": bad_pairs, "entities": bad_nodes, "splits": bad_splits, "evidence": bad_evidence}
     # A validator reads stored tables; store these once instead of deriving them per rule.
-    return {name: stage(df, f"broken-{name}") for name, df in tables.items()}
+    return {name: stage(tables[name], f"broken-{name}") for name in names}
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ from ends join bad_nodes on e = entity_id where cluster_id <> '' group by cluste
 
 @query("p8_leakage", "with " + BROKEN_SQL + "," + ENDS_SQL + LEAKAGE_SQL)
 def p8(spark: SparkSession, d: str) -> DataFrame:
-    t = broken_tables(spark, d)
+    t = broken_tables(spark, d, "splits", "pairs", "entities")
     return leakage(t["splits"], t["pairs"], t["entities"]).drop("severity")
 
 
@@ -378,7 +378,7 @@ group by complex_group_id having count(distinct partition) > 1"""
 
 @query("p9_group_leakage", "with " + BROKEN_SQL + GROUP_LEAKAGE_SQL)
 def p9(spark: SparkSession, d: str) -> DataFrame:
-    t = broken_tables(spark, d)
+    t = broken_tables(spark, d, "splits", "pairs")
     return group_leakage(t["splits"], t["pairs"]).drop("severity")
 
 
@@ -409,7 +409,7 @@ union all select 'unknown_entity', 'error', count(*) from (
 
 @query("v3_validate_pairs", "with " + BROKEN_SQL + f" select * from ({PAIR_RULES_SQL}) where n > 0")
 def v3(spark: SparkSession, d: str) -> DataFrame:
-    t = broken_tables(spark, d)
+    t = broken_tables(spark, d, "pairs", "entities")
     return by_rule(validate_pairs(t["pairs"], t["entities"], PAIR_PREFIX))
 
 
@@ -424,7 +424,7 @@ union all select 'contradictory_source_record', 'error', count(*) from (
 
 @query("v4_validate_evidence", "with " + BROKEN_SQL + f" select * from ({EVIDENCE_RULES_SQL}) where n > 0")
 def v4(spark: SparkSession, d: str) -> DataFrame:
-    t = broken_tables(spark, d)
+    t = broken_tables(spark, d, "evidence", "pairs")
     return by_rule(validate_evidence(t["evidence"], t["pairs"]))
 
 
@@ -447,7 +447,7 @@ union all select 'negative_without_definition', 'error', count(*) from held wher
 
 @query("v5_validate_support", "with " + BROKEN_SQL + "," + SUPPORT_CTE + f" select * from ({SUPPORT_RULES_SQL}) where n > 0")
 def v5(spark: SparkSession, d: str) -> DataFrame:
-    t = broken_tables(spark, d)
+    t = broken_tables(spark, d, "pairs", "evidence")
     return by_rule(validate_support(t["pairs"], t["evidence"]))
 
 
@@ -473,7 +473,7 @@ union all select 'warnings', cast(sum(n) as bigint) from found where severity =
 union all select 'passed', 0""",
 )
 def v6(spark: SparkSession, d: str) -> DataFrame:
-    t = broken_tables(spark, d)
+    t = broken_tables(spark, d, "pairs", "entities", "splits", "evidence")
     # These nodes carry no sequences; the sequence rules are v2's.
     found = validate_dataset(
         t["entities"], t["pairs"], t["evidence"], t["splits"], PAIR_PREFIX, id_shape=r"^N\d{4}$", taxon=None, rules=[]
