@@ -2,8 +2,8 @@
 
 Replicate r draws G groups with replacement from G groups: draw j takes the
 group with number floor(u * G), u = unit_hash(seed, r, j). Draws are counted
-per (replicate, group) and used as weights on counts that were already
-reduced to (group, scores, label).
+per (replicate, group) and used as weights on counts that were already reduced
+to (group, score).
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pairloom.operators.ordered import (
     sliced_running_totals,
     with_slices,
 )
-from pairloom.operators.ranking import average_precision_of_groups
 from pairloom.operators.rules import union_all
 from pairloom.runtime import spread, stage
 
+# Replicates that travel side by side in one row.
+BLOCK = 16
+
 
 def numbered_groups(df: DataFrame, by: Sequence[str], group: str) -> DataFrame:
     """(by, group, group_no, n_groups): groups numbered from 0 in text order."""
@@ -38,10 +40,12 @@ def numbered_groups(df: DataFrame, by: Sequence[str], group: str) -> DataFrame:
 
 
 def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, seed: int) -> DataFrame:
-    """(by, replicate, bootstrap_group, draws) for replicates first..last-1.
+    """(by, block, bootstrap_group, d0..d15): how often each replicate of a
+    block of sixteen drew the group.
 
     Every group row produces the draws that carry its own number, so the draw
-    list is generated in parallel from the group table itself.
+    list is generated in parallel from the group table itself. A block keeps
+    its replicates side by side, which divides the rows of all later steps.
     """
     draws = spread(groups).select(
         *by,
@@ -50,14 +54,24 @@ def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, se
         F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate"),
     )
     taken = F.floor(unit_hash(seed, F.concat_ws(":", "replicate", "draw")) * F.col("n_groups"))
-    counted = draws.groupBy(*by, "replicate", taken.alias("group_no")).agg(
-        F.count(F.lit(1)).alias("draws")
+    block = F.floor(F.col("replicate") / BLOCK).cast("int")
+    counted = draws.groupBy(*by, block.alias("block"), taken.alias("group_no")).agg(
+        *[F.count_if(F.col("replicate") % BLOCK == k).alias(f"d{k}") for k in range(BLOCK)]
     )
     named = counted.join(groups.select(*by, "group_no", "bootstrap_group"), [*by, "group_no"])
     # Either side of the next join may be the streamed one, and it multiplies rows.
     return spread(named.drop("group_no"))
 
 
+def unblocked(df: DataFrame, by: Sequence[str], values: Sequence[str], name: str, last: int) -> DataFrame:
+    """One row per replicate from the sixteen value columns of a block."""
+    cells = F.array(
+        *[F.struct((F.col("block") * BLOCK + k).alias("replicate"), F.col(v).alias(name)) for k, v in enumerate(values)]
+    )
+    long = df.select(*by, F.explode(cells).alias("c")).select(*by, "c.replicate", f"c.{name}")
+    return long.where(F.col("replicate") < last)
+
+
 def replicate_average_precision(
     df: DataFrame,
     by: Sequence[str],
@@ -67,7 +81,8 @@ def replicate_average_precision(
     group: str = "bootstrap_group",
     batch: int = 2000,
 ) -> DataFrame:
-    """(by, replicate, score_name, average_precision) per replicate.
+    """(by, score_name, replicate, average_precision) per replicate. ``batch``
+    is a multiple of the block size.
 
     The score order is the same in every replicate, so the range slices of the
     running totals are fixed once on the distinct scores; a replicate only
@@ -91,25 +106,32 @@ def replicate_average_precision(
     small = largest_group(sliced, [*by, "score_name"]) <= ONE_TASK_ROWS
     totals = bounded_running_totals if small else sliced_running_totals
     cells = spread(reduced.join(sliced, [*by, "score_name", "score"]))
-    # The replicate leads the sort keys: it separates rows best.
-    keys = ["replicate", *by, "score_name"]
+    keys = ["block", *by, "score_name"]
+    columns = range(BLOCK)
     parts = []
     for first in range(0, replicates, batch):
-        weights = draw_weights(groups, by, first, min(first + batch, replicates), seed)
+        last = min(first + batch, replicates)
         counts = (
-            cells.join(weights, [*by, "bootstrap_group"])
+            cells.join(draw_weights(groups, by, first, last, seed), [*by, "bootstrap_group"])
             .groupBy(*keys, "_slice", "score")
             .agg(
-                F.sum(F.col("n") * F.col("draws")).alias("n"),
-                F.sum(F.col("positives") * F.col("draws")).alias("positives"),
+                *[F.sum(F.col("n") * F.col(f"d{k}")).alias(f"n{k}") for k in columns],
+                *[F.sum(F.col("positives") * F.col(f"d{k}")).alias(f"p{k}") for k in columns],
             )
         )
-        run = totals(counts, keys, order, ["n", "positives"])
-        done = run.groupBy(*keys).agg(average_precision_of_groups().alias("average_precision"))
-        parts.append(stage(done, "replicates"))
+        run = totals(counts, keys, order, [f"{v}{k}" for v in "np" for k in columns])
+        done = run.groupBy(*keys).agg(*[_block_average_precision(k).alias(f"v{k}") for k in columns])
+        rows = unblocked(done, [*by, "score_name"], [f"v{k}" for k in columns], "average_precision", last)
+        parts.append(stage(rows, "replicates"))
     return union_all(parts)
 
 
+def _block_average_precision(k: int) -> Column:
+    """Sum of positives x precision over score groups, over all positives."""
+    hits = F.when(F.col(f"p{k}") > 0, F.col(f"p{k}") * F.col(f"cum_p{k}") / F.col(f"cum_n{k}"))
+    return F.try_divide(F.sum(hits), F.sum(f"p{k}").cast("double"))
+
+
 def interval(values: DataFrame, by: Sequence[str], value: str, replicates: int) -> DataFrame:
     """(by, replicates_requested, replicates_valid, lower_95, upper_95)."""
     by = list(by)
@@ -166,8 +188,10 @@ def bootstrap_means(
         .agg(F.sum("c.v").alias("s"), F.count("c.v").alias("n"))
     )
     weights = draw_weights(groups, by, 0, replicates, seed)
-    mean = F.try_divide(F.sum(F.col("s") * F.col("draws")), F.sum(F.col("n") * F.col("draws")))
-    means = (
-        reduced.join(weights, [*by, "bootstrap_group"]).groupBy(*by, "measure", "replicate").agg(mean.alias("mean"))
-    )
+    means = [
+        F.try_divide(F.sum(F.col("s") * F.col(f"d{k}")), F.sum(F.col("n") * F.col(f"d{k}"))).alias(f"v{k}")
+        for k in range(BLOCK)
+    ]
+    blocks = reduced.join(weights, [*by, "bootstrap_group"]).groupBy("block", *by, "measure").agg(*means)
+    means = unblocked(blocks, [*by, "measure"], [f"v{k}" for k in range(BLOCK)], "mean", replicates)
     return interval(stage(means, "means"), [*by, "measure"], "mean", replicates)

@@ -69,13 +69,12 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 def bounded_running_totals(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
 ) -> DataFrame:
-    """``running_totals`` for groups checked to hold at most ONE_TASK_ROWS."""
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running totals only, for groups checked to hold at most ONE_TASK_ROWS."""
+    upto = (
+        Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return df.select(
-        *[c for c in df.columns if c != "_slice"],
-        *[F.sum(v).over(upto).alias(f"cum_{v}") for v in values],
-        *[F.sum(v).over(group).alias(f"all_{v}") for v in values],
+        *[c for c in df.columns if c != "_slice"], *[F.sum(v).over(upto).alias(f"cum_{v}") for v in values]
     )
 
 
