@@ -140,7 +140,8 @@ def interval(values: DataFrame, by: Sequence[str], value: str, replicates: int)
     if by:
         out = valid.join(bounds, by, "left")
     else:
-        out = valid.withColumn("_k", F.lit(0)).join(bounds.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+        both = bounds.select(F.struct("lower_95", "upper_95")).scalar()
+        out = valid.withColumn("_b", both).select("replicates_valid", "_b.lower_95", "_b.upper_95")
     return out.select(
         *by, F.lit(replicates).alias("replicates_requested"), "replicates_valid", "lower_95", "upper_95"
     )

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.ordered import sliced_running, with_slices
 from pairloom.operators.ranking import average_precision
 from pairloom.operators.rules import union_all
 from pairloom.runtime import stage
@@ -149,23 +150,24 @@ def early_stop(curves: DataFrame, by: Sequence[str], patience: int = 10, epoch:
     """(by, best_epoch, best_metric, stopped_epoch) of every logged run.
 
     An epoch improves when its metric is strictly above all earlier ones; the
-    run stops once ``patience`` epochs pass without improvement. A window holds
-    one run's curve, which is as long as its epoch count.
+    run stops once ``patience`` epochs pass without improvement. Epochs count
+    from 1. Running maxima are taken in range slices, so a very long run does
+    not land in one task.
     """
-    w = Window.partitionBy(*by).orderBy(epoch)
-    before = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    improved = F.col(metric) > F.coalesce(before, F.lit(-1.0))
-    marked = curves.withColumn("_best", F.when(improved, F.col(epoch)))
-    so_far = F.max("_best").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    gapped = marked.withColumn("_gap", F.col(epoch) - F.coalesce(so_far, F.lit(0)))
-    stop = gapped.groupBy(*by).agg(
-        F.min(F.when(F.col("_gap") >= patience, F.col(epoch))).alias("_stop"), F.max(epoch).alias("_last")
-    )
-    kept = gapped.join(stop, list(by)).where(
-        F.col("_best").isNotNull() & (F.col(epoch) <= F.coalesce("_stop", "_last"))
+    by = list(by)
+    base = curves.select(*by, F.col(epoch).alias("epoch"), F.col(metric).alias("metric"))
+    sliced = with_slices(base, by, [F.col("epoch")])
+    earlier = sliced_running(sliced, by, [F.col("epoch")], maxima=["metric"], inclusive=False)
+    improved = F.col("metric") > F.coalesce(F.col("cum_metric"), F.lit(-1.0))
+    marked = earlier.select(*by, "_slice", "epoch", "metric", F.when(improved, F.col("epoch")).alias("best"))
+    held = sliced_running(marked, by, [F.col("epoch")], maxima=["best"])
+    gap = F.col("epoch") - F.coalesce(F.col("cum_best"), F.lit(0))
+    stop = held.groupBy(*by).agg(
+        F.coalesce(F.min(F.when(gap >= patience, F.col("epoch"))), F.max("epoch")).alias("stopped_epoch")
     )
+    kept = marked.where(F.col("best").isNotNull()).join(stop, by).where(F.col("epoch") <= F.col("stopped_epoch"))
     return kept.groupBy(*by).agg(
-        F.max(epoch).alias("best_epoch"),
-        F.max_by(metric, epoch).alias("best_metric"),
-        F.max(F.coalesce("_stop", "_last")).alias("stopped_epoch"),
+        F.max("epoch").alias("best_epoch"),
+        F.max_by("metric", "epoch").alias("best_metric"),
+        F.max("stopped_epoch").alias("stopped_epoch"),
     )

@@ -28,34 +28,52 @@ def with_slices(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> Da
     return stage(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def sliced_running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
+def sliced_running(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    sums: Sequence[str] = (),
+    maxima: Sequence[str] = (),
+    inclusive: bool = True,
 ) -> DataFrame:
-    """``running_totals`` of a table that already carries ``_slice``."""
+    """Add ``cum_<v>`` of sums and maxima over the rows up to this one (or
+    before it), and ``all_<v>``, to a table with ``_slice``; keeps ``_slice``."""
     by = list(by)
-    totals = df.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    kinds = [(v, F.sum) for v in sums] + [(v, F.max) for v in maxima]
+    totals = df.groupBy(*by, "_slice").agg(*[f(v).alias(f"_t_{v}") for v, f in kinds])
     # At most one row per slice and group meets here.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by,
         "_slice",
-        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
-        *[F.sum(f"_t_{v}").over(group).alias(f"all_{v}") for v in values],
+        *[f(f"_t_{v}").over(before).alias(f"_o_{v}") for v, f in kinds],
+        *[f(f"_t_{v}").over(group).alias(f"all_{v}") for v, f in kinds],
     )
+    last = Window.currentRow if inclusive else -1
     inside = (
-        Window.partitionBy(*by, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     )
-    columns = [c for c in df.columns if c != "_slice"]
+
+    def joined(v: str) -> Column:
+        if v in maxima:
+            return F.greatest(F.max(v).over(inside), F.col(f"_o_{v}"))
+        return F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.coalesce(F.col(f"_o_{v}"), F.lit(0))
+
     return df.join(offsets, [*by, "_slice"]).select(
-        *columns,
-        *[(F.sum(v).over(inside) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values],
-        *[F.col(f"all_{v}") for v in values],
+        *df.columns,
+        *[joined(v).alias(f"cum_{v}") for v, _ in kinds],
+        *[F.col(f"all_{v}") for v, _ in kinds],
     )
 
 
+def sliced_running_totals(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
+) -> DataFrame:
+    """``running_totals`` of a table that already carries ``_slice``."""
+    return sliced_running(df, by, order, sums=values).drop("_slice")
+
+
 # Largest group one task sorts when its size was checked beforehand.
 ONE_TASK_ROWS = 1_000_000
 

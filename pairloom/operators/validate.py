@@ -208,15 +208,9 @@ def validate_splits(splits: DataFrame, pairs: DataFrame, entities: DataFrame) ->
         ),
     ]
     key = ["split_scheme", "fold", "pair_id"]
-    # Clusters are only required once some split is cluster based: at most one row.
-    needed = (
-        splits.where(F.col("split_scheme").isin(*CLUSTERED_SCHEMES)).select(F.lit(0).alias("_k")).limit(1)
-    )
-    unclustered = (
-        entities.where(F.coalesce(F.trim("cluster_id"), F.lit("")) == "")
-        .withColumn("_k", F.lit(0))
-        .join(needed, "_k", "left_semi")
-    )
+    # Clusters are only required once some split is cluster based.
+    needed = splits.agg(F.count_if(F.col("split_scheme").isin(*CLUSTERED_SCHEMES)) > 0).scalar()
+    unclustered = entities.where(F.coalesce(F.trim("cluster_id"), F.lit("")) == "").where(needed)
     return union_all(
         [
             violations(splits, key, rules),

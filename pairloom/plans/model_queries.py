@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.arrays import symmetric_features
 from pairloom.operators.features import build_examples, finite, pool_windows, validate_vectors
 from pairloom.operators.model import balanced_weights, early_stop, grid_scores, select_and_refit
+from pairloom.operators.ordered import running_totals
 from pairloom.operators.ranking import metrics
 from pairloom.operators.rules import union_all
 from pairloom.plans.adapters import (
@@ -221,13 +222,15 @@ select h.run, max(h.epoch) as best_epoch, round(max(h.metric), 6) as best_metric
 from held h join stops s on h.run = s.run where h.better and h.epoch <= coalesce(stop, last) group by 1""",
 )
 def f8(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # A customer's orders stand for one run's epochs.
-    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint")
-    runs = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("run"), number.alias("epoch"), F.col("o_totalprice").alias("metric")
+    # A customer's orders, numbered by key, stand for one run's epochs.
+    orders = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("run"),
+        "o_orderkey",
+        F.col("o_totalprice").alias("metric"),
+        F.lit(1).cast("bigint").alias("one"),
     )
+    numbered = running_totals(orders, ["run"], [F.col("o_orderkey")], ["one"])
+    runs = numbered.select("run", F.col("cum_one").alias("epoch"), "metric")
     found = early_stop(runs, ["run"], patience=4)
     return found.select("run", "best_epoch", F.round("best_metric", 6).alias("best_metric"), "stopped_epoch")
 

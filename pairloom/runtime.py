@@ -48,10 +48,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     This cuts the lineage of iterative jobs and pins the rows, so values that
-    depend on physical layout stay the same when an executor is lost.
+    depend on physical layout stay the same when an executor is lost. Staged
+    tables of one application share a folder, which may be removed after it.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{work_dir(spark)}/pairloom/{app}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
