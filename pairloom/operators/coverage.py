@@ -150,31 +150,18 @@ def overlap_audit(
     row per query before they meet the members.
     """
     good = eligible_hits(hits, min_identity, min_coverage)
-    # The top (identity, bits) first, then the least target holding it.
-    top = good.groupBy("query").agg(
-        F.count(F.lit(1)).alias("_hits"), F.max(F.struct("identity", "bits")).alias("_top")
-    )
-    named = (
-        good.join(top, "query")
-        .where((F.col("identity") == F.col("_top.identity")) & (F.col("bits") == F.col("_top.bits")))
-        .groupBy("query", "_hits", "_top")
-        .agg(F.min("target").alias("_target"))
+    rank = F.struct(
+        (-F.col("identity")).alias("i"), (-F.col("bits")).alias("b"), F.col("target").alias("t")
     )
+    per_query = good.groupBy("query").agg(F.count(F.lit(1)).alias("_hits"), F.min(rank).alias("_best"))
     known = train.select("entity_id").distinct().withColumn("_direct", F.lit(True))
-    joined = members.join(known, "entity_id", "left").join(named, "query", "left")
+    joined = members.join(known, "entity_id", "left").join(per_query, "query", "left")
     out = joined.groupBy("group_id").agg(
         F.bool_or(F.col("_direct").isNotNull()).alias("direct_overlap"),
         F.bool_or(F.col("_hits").isNotNull()).alias("homology_overlap"),
         F.sum(F.coalesce("_hits", F.lit(0))).alias("eligible_hits"),
         F.count(F.lit(1)).alias("n_members"),
-        F.min(
-            F.when(
-                F.col("_hits").isNotNull(),
-                F.struct(
-                    (-F.col("_top.identity")).alias("i"), (-F.col("_top.bits")).alias("b"), F.col("_target").alias("t")
-                ),
-            )
-        ).alias("_best"),
+        F.min("_best").alias("_best"),
     )
     return out.select(
         "group_id",

@@ -24,8 +24,9 @@ PARTITIONS = ("train", "validation", "test")
 NODE_TARGETS = {"train": 0.60, "validation": 0.20, "test": 0.20}
 PAIR_TARGETS = {"train": 0.80, "validation": 0.10, "test": 0.10}
 
-SEEDS_PER_WORD = 21
+# A pool as one bit; three bits per seed let 21 seeds share a 64-bit word.
 POOL_BITS = {"train": 1, "validation": 2, "test": 4}
+SEEDS_PER_WORD = 21
 
 
 def pool(seed: Column | int, cluster: Column, targets: Mapping[str, float] = NODE_TARGETS) -> Column:
@@ -63,17 +64,19 @@ def retain_pairs(
     pooled = located.withColumn("pool_a", pool(seed, F.col("cluster_a"), targets)).withColumn(
         "pool_b", pool(seed, F.col("cluster_b"), targets)
     )
+    bit = lambda c: F.coalesce(*[F.when(F.col(c) == p, F.lit(b)) for p, b in POOL_BITS.items()])
     spanning = (
         pooled.where(F.col("complex_group_id") != "")
-        .groupBy("complex_group_id")
-        .agg(F.min(F.least("pool_a", "pool_b")).alias("_lo"), F.max(F.greatest("pool_a", "pool_b")).alias("_hi"))
-        .where(F.col("_lo") != F.col("_hi"))
-        .select("complex_group_id", F.lit(True).alias("_spans"))
+        .groupBy(F.col("complex_group_id").alias("_key"))
+        .agg(F.bit_or(bit("pool_a").bitwiseOR(bit("pool_b"))).alias("_pools"))
+        .where(F.bit_count("_pools") > 1)
+        .select("_key", F.lit(True).alias("_spans"))
     )
-    # Ungrouped pairs skip the join, so the blank group is never a hot key.
-    grouped = pooled.where(F.col("complex_group_id") != "").join(spanning, "complex_group_id", "left")
-    single = pooled.where(F.col("complex_group_id") == "").withColumn("_spans", F.lit(None).cast("boolean"))
-    both = grouped.unionByName(single)
+    # An ungrouped pair joins on its own id and finds nothing: the blank group
+    # would be one hot key.
+    alone = F.concat(F.lit("\u0000"), "pair_id")
+    key = F.when(F.col("complex_group_id") != "", F.col("complex_group_id")).otherwise(alone)
+    both = pooled.withColumn("_key", key).join(spanning, "_key", "left").drop("_key")
     reason = (
         F.when(F.col("_spans"), F.lit("complex_group_cross_partition_quarantine"))
         .when(F.col("pool_a") != F.col("pool_b"), F.lit("cross_partition_quarantine"))
@@ -233,8 +236,14 @@ def select_split(pairs: DataFrame, entities: DataFrame, first: int = 0, last: in
 def make_split(
     pairs: DataFrame, entities: DataFrame, seed: int, scheme: str = "c3_primary", fold: str = "0"
 ) -> dict[str, DataFrame]:
-    """``splits``, ``quarantined`` pairs and entity ``assignments``."""
-    decided = retain_pairs(located_pairs(pairs, entities), seed)
+    """``splits``, ``quarantined`` pairs and entity ``assignments``.
+
+    The located pairs are read twice and the decisions by two outputs, so each
+    is staged, in the few columns it needs.
+    """
+    narrow = pairs.select("pair_id", "node_a", "node_b", "complex_group_id")
+    located = stage(located_pairs(narrow, entities).drop("node_a", "node_b"), "located")
+    decided = stage(retain_pairs(located, seed).drop("complex_group_id"), "decided")
     kept = decided.where(F.col("reason") == "").select(
         F.lit(scheme).alias("split_scheme"),
         F.lit(fold).alias("fold"),

@@ -157,17 +157,19 @@ def validate_support(pairs: DataFrame, evidence: DataFrame, direct_term: str = D
 
 
 def _crossing(df: DataFrame, value: str, rule_id: str) -> DataFrame:
-    """Values seen in more than one partition of a (scheme, fold)."""
+    """Values seen in more than one partition of a (scheme, fold). A partition
+    is one bit, so a value needs one small number however often it occurs."""
+    names = sorted(PARTITION_NAMES)
+    bit = F.coalesce(*[F.when(F.col("partition") == n, F.lit(1 << i)) for i, n in enumerate(names)])
     spread = (
-        df.groupBy("split_scheme", "fold", value)
-        .agg(F.min("partition").alias("_lo"), F.max("partition").alias("_hi"))
-        .where(F.col("_lo") != F.col("_hi"))
+        df.groupBy("split_scheme", "fold", value).agg(F.bit_or(bit).alias("_bits")).where(F.bit_count("_bits") > 1)
     )
+    named = [F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) > 0, F.lit(n)) for i, n in enumerate(names)]
     return spread.select(
         F.concat_ws("|", "split_scheme", "fold", value).alias("key"),
         F.lit(rule_id).alias("rule_id"),
         F.lit("error").alias("severity"),
-        F.concat_ws("/", "_lo", "_hi").alias("message"),
+        F.concat_ws("/", *named).alias("message"),
     )
 
 

@@ -46,7 +46,7 @@ from pairloom.operators.resolve import (
     split_unresolved,
     unique_dim,
 )
-from pairloom.operators.rules import union_all
+from pairloom.operators.rules import Rule, union_all, violations
 from pairloom.plans.adapters import (
     IDS_SQL,
     OBS_SQL,
@@ -179,6 +179,22 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "v1_rule_violations",
+    """
+select cast(o_orderkey as varchar) as key, r.rule_id, r.severity, r.message from orders,
+  unnest([case when o_totalprice < 20000 then {'rule_id': 'value_too_low', 'severity': 'error', 'message': concat('status ', o_orderstatus)} end,
+          case when o_orderpriority like '5%' then {'rule_id': 'low_priority', 'severity': 'warning', 'message': ''} end]) as u(r)
+where r is not null""",
+)
+def v1(spark: SparkSession, d: str) -> DataFrame:
+    rules = [
+        Rule("value_too_low", F.col("o_totalprice") < 20000, F.concat(F.lit("status "), "o_orderstatus")),
+        Rule("low_priority", F.col("o_orderpriority").startswith("5"), severity="warning"),
+    ]
+    return violations(table(spark, d, "orders"), ["o_orderkey"], rules)
+
+
 @query(
     "c4_screen_filter",
     """

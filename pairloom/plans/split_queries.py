@@ -356,10 +356,10 @@ ends as (
   where s.partition in ('train', 'validation', 'test'))"""
 
 LEAKAGE_SQL = """
-select concat('c3_primary|0|', e) as key, 'entity_leakage' as rule_id, concat(min(partition), '/', max(partition)) as message
+select concat('c3_primary|0|', e) as key, 'entity_leakage' as rule_id, string_agg(distinct partition, '/' order by partition) as message
 from ends group by e having count(distinct partition) > 1
 union all
-select concat('c3_primary|0|', cluster_id), 'cluster_leakage', concat(min(partition), '/', max(partition))
+select concat('c3_primary|0|', cluster_id), 'cluster_leakage', string_agg(distinct partition, '/' order by partition)
 from ends join bad_nodes on e = entity_id where cluster_id <> '' group by cluster_id having count(distinct partition) > 1"""
 
 
@@ -370,7 +370,7 @@ def p8(spark: SparkSession, d: str) -> DataFrame:
 
 
 GROUP_LEAKAGE_SQL = """
-select concat('c3_primary|0|', complex_group_id) as key, 'group_leakage' as rule_id, concat(min(partition), '/', max(partition)) as message
+select concat('c3_primary|0|', complex_group_id) as key, 'group_leakage' as rule_id, string_agg(distinct partition, '/' order by partition) as message
 from bad_splits join bad_pairs using (pair_id)
 where complex_group_id <> '' and partition in ('train', 'validation', 'test')
 group by complex_group_id having count(distinct partition) > 1"""
