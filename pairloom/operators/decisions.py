@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.bootstrap import bootstrap_average_precision, bootstrap_delta, bootstrap_means
-from pairloom.operators.coverage import align, select_cohort
+from pairloom.operators.bootstrap import bootstrap_delta, bootstrap_means
+from pairloom.operators.coverage import align
 from pairloom.operators.ranking import average_precision, metrics
 from pairloom.operators.rules import union_all
 
@@ -252,21 +252,3 @@ def gate_passed(checks: DataFrame) -> DataFrame:
 def seed_metrics(predictions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Full metric rows per seed, the input of ``seed_summary``."""
     return metrics(predictions, list(by))
-
-
-__all__ = [
-    "bootstrap_average_precision",
-    "compare",
-    "comparison_suite",
-    "deltas_of",
-    "gate_passed",
-    "new_failures",
-    "noninferiority",
-    "paired_deltas",
-    "positive_deltas",
-    "seed_metrics",
-    "seed_summary",
-    "select_cohort",
-    "suite_rows",
-    "support",
-]

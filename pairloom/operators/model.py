@@ -21,6 +21,7 @@ from pairloom.runtime import stage
 C_GRID = (0.01, 0.1, 1.0, 10.0, 100.0)
 MAX_ITERATIONS = 5000
 TOLERANCE = 1e-8
+ROWS_PER_PARTITION = 20_000
 
 
 def class_counts(df: DataFrame) -> DataFrame:
@@ -89,7 +90,10 @@ def prepare(df: DataFrame, weighted: bool = True) -> Training:
         "weight",
         array_to_vector(LogisticFit(means, scales, None).scaled(F.col("features"))).alias("_x"),
     )
-    return Training(means, scales, n, stage(ready, "train"))
+    # Each solver iteration is a job: a small set iterates faster in few
+    # partitions. Coalescing never adds any, so a large set keeps its own.
+    held = stage(ready, "train").coalesce(max(1, n // ROWS_PER_PARTITION))
+    return Training(means, scales, n, held)
 
 
 def fit_prepared(training: Training, c: float) -> LogisticFit:

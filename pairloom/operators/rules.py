@@ -9,9 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VIOLATION_COLUMNS = ("key", "rule_id", "severity", "message")
-
-
 @dataclass(frozen=True)
 class Rule:
     """``broken`` is true on a row that violates the rule; null means it holds."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.classify import eligible
-from pairloom.operators.cohort import build_cohorts, cohort_counts, expected_pairs
+from pairloom.operators.cohort import build_cohorts, expected_pairs
 from pairloom.operators.graph import attach_groups, complex_groups
 from pairloom.operators.pairs import (
     canonicalise,
@@ -130,6 +130,3 @@ def build_summary(built: dict[str, DataFrame]) -> DataFrame:
             counted(built["quarantine"], "quarantine_", "reason"),
         ]
     )
-
-
-__all__ = ["build_benchmark", "build_summary", "cohort_counts", "freeze"]

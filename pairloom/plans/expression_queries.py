@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,16 +36,12 @@ from pairloom.plans.adapters import (
     unit_sql,
 )
 from pairloom.plans.catalog import query
+from pairloom.runtime import scratch_path
 from pairloom.sources.files import file_inventory, validate_registry
 from pairloom.sources.manifest import manifest, verify_manifest
 from pairloom.sources.ontology import read_ontology
 from pairloom.sources.sinks import write_once
 from pairloom.sources.tables import read_headerless, read_snapshot, read_table, snapshot_rules
-from pairloom.runtime import work_dir
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------ sources, sinks
@@ -60,7 +54,7 @@ select cast(p_partkey as varchar) as p_partkey, p_name, p_brand, p_type, cast(p_
 from part""",
 )
 def s1(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     columns = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
     table(spark, d, "part").select(*columns).write.option("header", "true").csv(path)
     return read_table(spark, path, columns)
@@ -75,7 +69,7 @@ select case when o_orderpriority like '1%' then 'wrong_column_count'
 from orders group by 1""",
 )
 def s2(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "tsv")
+    path = scratch_path(spark, "tsv")
     cells = [F.concat(F.lit("K"), "o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")]
     urgent = F.col("o_orderpriority").startswith("1")
     line = F.when(urgent, F.concat_ws("\t", *cells[:2])).otherwise(F.concat_ws("\t", *cells))
@@ -97,7 +91,7 @@ select rule_id, count(*) as n from (
 group by 1""",
 )
 def s3(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "snapshot")
+    path = scratch_path(spark, "snapshot")
     rows = sequence_entities(spark, d).select(
         F.col("entity_id").alias("Entry"),
         F.lit("reviewed").alias("Reviewed"),
@@ -130,7 +124,7 @@ select cast(p_partkey as varchar) as child, cast(p_partkey // 10 as varchar) as
 from part where p_partkey > 0""",
 )
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "ontology")
+    path = scratch_path(spark, "ontology")
     stanza = F.concat(
         F.lit("[Term]\nid: "), F.col("p_partkey").cast("string"),
         F.lit("\nname: "), F.col("p_name"),
@@ -180,7 +174,7 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s8_write_once", "select c_custkey, c_name, c_mktsegment from customer")
 def s8(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "once")
+    path = scratch_path(spark, "once")
     write_once(table(spark, d, "customer"), path, ["c_custkey"], ["c_custkey", "c_name", "c_mktsegment"])
     return spark.read.parquet(path)
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.arrays import symmetric_features
-from pairloom.operators.features import build_examples, finite, pool_windows, validate_vectors
+from pairloom.operators.features import build_examples, pool_windows, validate_vectors
 from pairloom.operators.model import balanced_weights, early_stop, grid_scores, select_and_refit
 from pairloom.operators.ordered import running_totals
 from pairloom.operators.ranking import metrics
-from pairloom.operators.rules import union_all
 from pairloom.plans.adapters import (
     KEPT_SQL,
     PAIR_PREFIX,
@@ -24,7 +21,7 @@ from pairloom.plans.adapters import (
 )
 from pairloom.plans.benchmark import build_benchmark, build_summary, freeze
 from pairloom.plans.catalog import query
-from pairloom.runtime import stage, work_dir
+from pairloom.runtime import scratch_path, stage
 
 # ---------------------------------------------------------------- features
 
@@ -306,8 +303,4 @@ def v7_build(spark: SparkSession, d: str) -> DataFrame:
 def v7(spark: SparkSession, d: str) -> DataFrame:
     tables = built(spark, d)
     inputs = {n: tables[n] for n in ("pairs", "evidence", "entities")}
-    out = f"{work_dir(spark)}/pairloom/frozen-{uuid.uuid4().hex}"
-    return freeze(spark, inputs, out, PAIR_PREFIX, id_shape=r"^N\d{4}$", taxon=None, rules=[])
-
-
-
+    return freeze(spark, inputs, scratch_path(spark, "frozen"), PAIR_PREFIX, id_shape=r"^N\d{4}$", taxon=None, rules=[])

@@ -29,7 +29,6 @@ from pairloom.operators.ranking import (
     stratified_metrics,
     validate_predictions,
 )
-from pairloom.operators.rules import union_all
 from pairloom.plans.adapters import (
     PREDS_SQL,
     SEEDED_SQL,
@@ -496,6 +495,3 @@ select "check", round(value, 9) as value, bound, value >= bound as passed from c
 )
 def m19(spark: SparkSession, d: str) -> DataFrame:
     return rounded(noninferiority(paired_measures(spark, d), "quality", PAIRED_FLAGS))
-
-
-__all__ = ["cohort_members", "paired_measures", "rounded", "union_all"]

@@ -44,16 +44,21 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. The paths of one application share a
+    folder, which may be removed after it."""
+    app = spark.sparkContext.applicationId
+    return f"{work_dir(spark)}/pairloom/{app}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     This cuts the lineage of iterative jobs and pins the rows, so values that
-    depend on physical layout stay the same when an executor is lost. Staged
-    tables of one application share a folder, which may be removed after it.
+    depend on physical layout stay the same when an executor is lost.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{work_dir(spark)}/pairloom/{app}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,6 +16,9 @@ def one(frame, expr_of, value, kind="string"):
 def test_strip_handles_all_whitespace(frame):
     assert one(frame, text.strip, "\t x y  \n") == "x y"
     assert one(frame, text.blank_to_null, " \t ") is None
+    every = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+    assert set(every) == set(text.WHITESPACE)
+    assert one(frame, text.strip, f"{every}x{every}y{every}") == f"x{every}y"
 
 
 def test_strip_all_keeps_types(frame):
