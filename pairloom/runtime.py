@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators are designed for.
@@ -26,22 +23,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the session's ``spark.checkpoint.dir``.
-
-    Only a local master may go without that setting; it then gets a fresh
-    temporary folder, because driver and executors share one machine.
-    """
+    """Shared folder for staged tables: the session's ``spark.checkpoint.dir``,
+    else the warehouse folder, which driver and executors share as well."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL_DIRS[app]
+    return (shared or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -60,7 +47,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Delete the files of a table that ``stage`` wrote, once its successor is
+    written. The frame, and every frame made from it, is then unreadable."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from pairloom.plans.registered import ORACLES, QUERIES  # noqa: E402
 from compare import TABLES, rows_of, same  # noqa: E402
 
 SF = os.environ.get("PAIRLOOM_TEST_SF", "/root/testdata/sf0.001")
@@ -30,18 +31,18 @@ def duck():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
-    cur = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    cur = duck.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     got, want = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(columns, cur.fetchall())
@@ -52,4 +53,4 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL - {"v7_freeze"}))
 def test_query_has_rows(spark, name):
-    assert queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
