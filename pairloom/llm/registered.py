@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.llm import (  # noqa: F401
+    html_extract,
     mixing,
     quality_rules,
     token_counts,
