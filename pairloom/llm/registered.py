@@ -5,7 +5,9 @@ from __future__ import annotations
 from pairloom.llm import (  # noqa: F401
     html_extract,
     mixing,
+    pii,
     quality_rules,
+    secrets,
     token_counts,
 )
 from pairloom.llm.catalog import ORACLES, QUERIES
