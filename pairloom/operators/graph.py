@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.rules import union_all
-from pairloom.runtime import stage
+from pairloom.runtime import drop_stage, stage
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -45,8 +45,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component) for an undirected edge table (u, v) of strings; the
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for an undirected edge table (u, v) of one type; the
     component is its smallest node.
 
     Alternating large-star and small-star steps need about log(n) rounds, also
@@ -56,14 +56,12 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     loops = edges.where(F.col("u") == F.col("v")).select("u").distinct()
     current = stage(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "star")
     before = _state(current)
-    for _ in range(max_rounds):
-        current = stage(_small_star(_large_star(current)), "star")
-        after = _state(current)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    settled = before[0] == 0
+    while not settled:
+        following = stage(_small_star(_large_star(current)), "star")
+        drop_stage(current)
+        current, after = following, _state(following)
+        settled, before = after == before, after
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
