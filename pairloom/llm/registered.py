@@ -5,6 +5,7 @@ from __future__ import annotations
 from pairloom.llm import (  # noqa: F401
     html_extract,
     mixing,
+    ngram_join,
     pii,
     quality_rules,
     secrets,
