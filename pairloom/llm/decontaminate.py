@@ -92,10 +92,13 @@ def windows_of(docs: DataFrame, lengths: list[int], known: np.ndarray, sized: np
         own = places[fetch.holds(sized, _of_length(shingles, n) & mask)]
         if len(own) < least:
             return own[:0]
-        near = (own[:, None] - np.arange(spots)).reshape(-1)
-        starts = np.unique(near[(near >= 0) & (near <= total - n)])
-        held = np.searchsorted(own, starts + spots) - np.searchsorted(own, starts)
-        return starts[held >= least]
+        # A place counts for the windows that start up to spots - 1 before it.
+        change = np.zeros(total - n + 2, np.int64)
+        low, high = np.maximum(own - spots + 1, 0), np.minimum(own, total - n) + 1
+        good = low < high
+        np.add.at(change, low[good], 1)
+        np.add.at(change, high[good], -1)
+        return np.flatnonzero(np.cumsum(change[:-1]) >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()

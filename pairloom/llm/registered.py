@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pairloom.llm import (  # noqa: F401
+    decontaminate,
     html_extract,
+    line_dedup,
     mixing,
     ngram_join,
     pii,
