@@ -9,6 +9,7 @@ from pairloom.llm import (  # noqa: F401
     mixing,
     ngram_join,
     pii,
+    quality_model,
     quality_rules,
     secrets,
     token_counts,
