@@ -71,6 +71,7 @@ CURRENT = POLICIES[-1]
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements of ``text``."""
+    columns = df.columns
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(WHITE))
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(
@@ -98,17 +99,20 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     p = F.col(_REPEATS)
     covered = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
     dense = F.col("_stripped")
-    return df.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(dense).cast("long"),
-            "n_symbols": (F.length(dense) - F.length(F.translate(dense, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_upper": F.regexp_count(dense, F.lit(r"\p{Lu}")).cast("long"),
-        }
-    ).drop(_WORDS, "_lines", "_stripped", _WINDOWS, _REPEATS)
+    measures = {
+        "n_words": F.size(w),
+        "word_chars": F.length(dense),
+        "n_symbols": F.length(dense) - F.length(F.translate(dense, SYMBOLS, "")),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, x: a + x),
+        "n_lines": F.size("_lines"),
+        "n_upper": F.regexp_count(dense, F.lit(r"\p{Lu}")),
+    }
+    # One generated row per row: a filter on a measurement then stays above it and
+    # does not evaluate the arrays again.
+    one = F.array(F.struct(*[c.cast("long").alias(name) for name, c in measures.items()]))
+    kept = [c for c in columns if c not in measures]
+    return df.select(*kept, F.inline(one))
 
 
 def rule_ledger(df: DataFrame, text: str = "text") -> DataFrame:
