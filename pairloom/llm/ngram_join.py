@@ -179,7 +179,7 @@ def prefix_roots(
 
 
 def _ones(words: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words).sum(axis=-1).astype(np.int64)
+    return np.bitwise_count(words.view(np.uint64)).sum(axis=-1).astype(np.int64)
 
 
 def tree_pairs(
