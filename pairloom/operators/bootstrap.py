@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.keys import unit_hash
 from pairloom.operators.ordered import (
-    ONE_TASK_ROWS,
-    bounded_running_totals,
-    largest_group,
     quantiles,
     running_totals,
     sliced_running_totals,
     with_slices,
 )
 from pairloom.operators.rules import union_all
-from pairloom.runtime import spread, stage
+from pairloom.runtime import stage
 
 # Replicates that travel side by side in one row.
 BLOCK = 16
@@ -47,7 +44,7 @@ def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, se
     list is generated in parallel from the group table itself. A block keeps
     its replicates side by side, which divides the rows of all later steps.
     """
-    draws = spread(groups).select(
+    draws = groups.select(
         *by,
         "n_groups",
         F.col("group_no").alias("draw"),
@@ -59,8 +56,7 @@ def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, se
         *[F.count_if(F.col("replicate") % BLOCK == k).alias(f"d{k}") for k in range(BLOCK)]
     )
     named = counted.join(groups.select(*by, "group_no", "bootstrap_group"), [*by, "group_no"])
-    # Either side of the next join may be the streamed one, and it multiplies rows.
-    return spread(named.drop("group_no"))
+    return named.drop("group_no")
 
 
 def unblocked(df: DataFrame, by: Sequence[str], values: Sequence[str], name: str, last: int) -> DataFrame:
@@ -102,10 +98,7 @@ def replicate_average_precision(
     distinct = reduced.select(*by, "score_name", "score").distinct()
     order = [F.col("score").desc()]
     sliced = with_slices(distinct, [*by, "score_name"], order)
-    # A replicate has at most as many score groups as the data itself.
-    small = largest_group(sliced, [*by, "score_name"]) <= ONE_TASK_ROWS
-    totals = bounded_running_totals if small else sliced_running_totals
-    cells = spread(reduced.join(sliced, [*by, "score_name", "score"]))
+    cells = reduced.join(sliced, [*by, "score_name", "score"])
     keys = ["block", *by, "score_name"]
     columns = range(BLOCK)
     parts = []
@@ -119,7 +112,7 @@ def replicate_average_precision(
                 *[F.sum(F.col("positives") * F.col(f"d{k}")).alias(f"p{k}") for k in columns],
             )
         )
-        run = totals(counts, keys, order, [f"{v}{k}" for v in "np" for k in columns])
+        run = sliced_running_totals(counts, keys, order, [f"{v}{k}" for v in "np" for k in columns])
         done = run.groupBy(*keys).agg(*[_block_average_precision(k).alias(f"v{k}") for k in columns])
         rows = unblocked(done, [*by, "score_name"], [f"v{k}" for k in columns], "average_precision", last)
         parts.append(stage(rows, "replicates"))

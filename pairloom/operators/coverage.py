@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import strip
 from pairloom.operators.rules import Rule, duplicate_keys, key_text, missing_keys, union_all, violations
 
 
@@ -227,8 +228,8 @@ def review_select(
     rules = [
         Rule("unknown_candidate", F.col("_auto").isNull()),
         Rule("missing_flag", F.col("include").isNull() | F.col("outputs_consulted").isNull()),
-        Rule("missing_reviewer", F.coalesce(F.trim("reviewer_role"), F.lit("")) == ""),
-        Rule("missing_rationale", F.coalesce(F.trim("rationale"), F.lit("")) == ""),
+        Rule("missing_reviewer", F.coalesce(strip(F.col("reviewer_role")), F.lit("")) == ""),
+        Rule("missing_rationale", F.coalesce(strip(F.col("rationale")), F.lit("")) == ""),
         Rule("included_but_ineligible", include & ~F.coalesce("_auto", F.lit(True))),
         Rule("selection_saw_outputs", include & F.coalesce("outputs_consulted", F.lit(False))),
     ]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import strip
 from pairloom.functions.arrays import composition, symmetric_features
 from pairloom.operators.coverage import coverage
 from pairloom.operators.rules import Rule, duplicate_keys, union_all, violations
@@ -32,7 +33,7 @@ def composition_vectors(entities: DataFrame, sequence: str = "sequence", alphabe
     """(entity_id, vector, length) from sequences."""
     args = (F.col(sequence),) if alphabet is None else (F.col(sequence), alphabet)
     return entities.select(
-        "entity_id", composition(*args).alias("vector"), F.length(F.trim(sequence)).alias("length")
+        "entity_id", composition(*args).alias("vector"), F.length(strip(F.col(sequence))).alias("length")
     )
 
 

@@ -69,14 +69,14 @@ def components(edges: DataFrame) -> DataFrame:
     return linked.unionByName(alone.join(linked.select("node"), "node", "left_anti"))
 
 
-def complex_groups(pair_groups: DataFrame, prefix: str = "PDB", block: int = 100_000) -> DataFrame:
+def complex_groups(pair_groups: DataFrame, prefix: str = "PDB") -> DataFrame:
     """(pair_id, component_group) from (pair_id, group_id) rows.
 
     Pairs sharing a group id, directly or through other pairs, get one name:
-    ``PREFIX_<id>`` for a single id, otherwise ``PREFIX_COMPONENT_`` and 12 hex
-    digits of the SHA-256 of the ``;``-joined sorted ids. A component with more
-    than ``block`` ids is digested block by block, then over the block digests,
-    so no task ever assembles an unbounded list.
+    ``PREFIX_<id>`` for a single id, otherwise ``PREFIX_COMPONENT_`` and 32 hex
+    digits of a digest over the number of ids and two exact sums of the ids' own
+    SHA-256 words. The sums do not depend on an order, so one aggregation names
+    a component of any size.
     """
     links = pair_groups.where(F.col("group_id").isNotNull() & (F.col("group_id") != ""))
     links = links.select("pair_id", "group_id").distinct()
@@ -87,35 +87,21 @@ def complex_groups(pair_groups: DataFrame, prefix: str = "PDB", block: int = 100
     groups = found.where(F.col("node").startswith("g:")).select(
         "component", F.expr("substring(node, 3)").alias("group_id")
     )
-    sizes = groups.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first_id")
+    digest = F.sha2("group_id", 256)
+    word = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    named = groups.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first_id"), word(1).alias("w1"), word(16).alias("w2")
     )
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block))))
-    blocked = groups.join(sizes.where(F.col("n") > 1), "component").select(
+    whole = F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "w1", "w2"), 256), 1, 32)
+    named = named.select(
         "component",
-        "group_id",
-        "blocks",
-        F.pmod(F.xxhash64("group_id"), F.col("blocks")).alias("b"),
-    )
-    digests = blocked.groupBy("component", "blocks", "b").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("group_id")), ";"), 256).alias("d")
-    )
-    named = digests.groupBy("component", "blocks").agg(
-        F.array_sort(F.collect_list(F.struct("b", "d"))).alias("ds")
-    )
-    whole = F.when(F.col("blocks") == 1, F.element_at("ds", 1)["d"]).otherwise(
-        F.sha2(F.array_join(F.transform("ds", lambda x: x["d"]), ";"), 256)
-    )
-    many = named.select(
-        "component",
-        F.concat(F.lit(f"{prefix}_COMPONENT_"), F.substring(whole, 1, 12)).alias("component_group"),
-    )
-    single = sizes.where(F.col("n") == 1).select(
-        "component", F.concat(F.lit(f"{prefix}_"), "first_id").alias("component_group")
+        F.when(F.col("n") == 1, F.concat(F.lit(f"{prefix}_"), "first_id"))
+        .otherwise(F.concat(F.lit(f"{prefix}_COMPONENT_"), whole))
+        .alias("component_group"),
     )
     return (
         found.where(F.col("node").startswith("p:"))
-        .join(single.unionByName(many), "component")
+        .join(named, "component")
         .select(F.expr("substring(node, 3)").alias("pair_id"), "component_group")
     )
 
@@ -127,47 +113,42 @@ def attach_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """(term): the roots and everything below them in (child, parent) edges.
+# Levels of a closure that are read apart before they are written as one.
+LEVELS_APART = 8
 
-    Each level joins only the newly reached terms, so a cycle or a shared
-    descendant is visited once.
-    """
-    frontier = stage(roots.select("term").distinct(), "closure")
+
+def _reached(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``keys`` reachable downwards, level by level. Only newly reached
+    rows are joined, so the walk ends by itself, also on cycles."""
+    frontier = stage(roots.select(*keys).distinct(), "closure")
     levels = [frontier]
-    for _ in range(max_levels):
-        seen = union_all(levels)
+    while True:
         fresh = (
-            edges.join(frontier, edges["parent"] == frontier["term"])
-            .select(edges["child"].alias("term"))
+            edges.select("child", "parent")
+            .join(frontier, edges["parent"] == frontier["term"])
+            .drop("term", "parent")
+            .withColumnRenamed("child", "term")
+            .select(*keys)
             .distinct()
-            .join(seen, "term", "left_anti")
+            .join(union_all(levels), keys, "left_anti")
         )
         frontier = stage(fresh, "closure")
         if frontier.isEmpty():
-            return seen
+            return union_all(levels)
         levels.append(frontier)
-    raise RuntimeError(f"closure is deeper than {max_levels} levels")
+        if len(levels) > LEVELS_APART:
+            levels = [stage(union_all(levels), "closure")]
+
 
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(term): the roots and everything below them in (child, parent) edges."""
+    return _reached(edges, roots, ["term"])
 
-def closure_by_root(edges: DataFrame, roots: DataFrame, max_levels: int = 1000) -> DataFrame:
+
+def closure_by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, term) for several named root sets in one pass; ``roots`` has
     (root, term)."""
-    frontier = stage(roots.select("root", "term").distinct(), "closure")
-    levels = [frontier]
-    for _ in range(max_levels):
-        seen = union_all(levels)
-        fresh = (
-            edges.join(frontier, edges["parent"] == frontier["term"])
-            .select("root", edges["child"].alias("term"))
-            .distinct()
-            .join(seen, ["root", "term"], "left_anti")
-        )
-        frontier = stage(fresh, "closure")
-        if frontier.isEmpty():
-            return seen
-        levels.append(frontier)
-    raise RuntimeError(f"closure is deeper than {max_levels} levels")
+    return _reached(edges, roots, ["root", "term"])
 
 
 def compile_policy(terms: DataFrame, edges: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import is_digest
+from pairloom.functions.text import is_digest, strip
 from pairloom.operators.ordered import quantiles, smallest_per_group
 from pairloom.operators.rules import Rule, duplicate_keys, union_all, violations
 
@@ -206,14 +206,14 @@ def validate_ledger(df: DataFrame, kind: str) -> DataFrame:
         return Rule(f"invalid_{name}", ~F.coalesce(ok, F.lit(False)))
 
     rules = [
-        Rule(f"missing_{c}", F.coalesce(F.trim(c), F.lit("")) == "")
+        Rule(f"missing_{c}", F.coalesce(strip(F.col(c)), F.lit("")) == "")
         for c in key
         if c != "seed"
     ]
     rules += [
         Rule("invalid_status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))),
         below("gpu_count", 0),
-        Rule("gpu_row_without_model", gpu & (F.coalesce(F.trim("gpu_model"), F.lit("")) == "")),
+        Rule("gpu_row_without_model", gpu & (F.coalesce(strip(F.col("gpu_model")), F.lit("")) == "")),
         Rule("gpu_row_without_memory", gpu & ~F.coalesce(F.col("peak_gpu_memory_mib") > 0, F.lit(False))),
         Rule("negative_memory", F.col("peak_gpu_memory_mib") < 0),
         below("wall_time_seconds", 0.000001),

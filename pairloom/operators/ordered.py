@@ -74,28 +74,6 @@ def sliced_running_totals(
     return sliced_running(df, by, order, sums=values).drop("_slice")
 
 
-# Largest group one task sorts when its size was checked beforehand.
-ONE_TASK_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group: one number on the driver."""
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
-
-
-def bounded_running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
-) -> DataFrame:
-    """Running totals only, for groups checked to hold at most ONE_TASK_ROWS."""
-    upto = (
-        Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.select(
-        *[c for c in df.columns if c != "_slice"], *[F.sum(v).over(upto).alias(f"cum_{v}") for v in values]
-    )
-
-
 def running_totals(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import strip
 from pairloom.operators.ordered import running_totals
 from pairloom.operators.rules import Rule, duplicate_keys, require_min_rows, union_all, violations
 
@@ -55,9 +56,11 @@ def _auroc() -> Column:
     negatives = F.col("n") - F.col("positives")
     all_negatives = F.col("all_n") - F.col("all_positives")
     below = all_negatives - (F.col("cum_n") - F.col("cum_positives"))
-    wins = F.col("positives") * below + F.lit(0.5) * F.col("positives") * negatives
-    pairs = F.max(F.col("all_positives") * all_negatives)
-    return F.when(pairs > 0, F.try_divide(F.sum(wins), pairs.cast("double")))
+    # Products of counts leave the range of bigint: they are taken as doubles.
+    hits = F.col("positives").cast("double")
+    wins = hits * below + F.lit(0.5) * hits * negatives
+    pairs = F.max(F.col("all_positives").cast("double") * all_negatives)
+    return F.when(pairs > 0, F.try_divide(F.sum(wins), pairs))
 
 
 def _expected_hits(k: Column) -> Column:
@@ -75,13 +78,13 @@ def _bedroc(alpha: float) -> Column:
 
     def span(first: Column, count: Column) -> Column:
         """Sum of exp(-rate * r) over ``count`` ranks from ``first``."""
-        return F.exp(-rate * first) * (1 - F.exp(-rate * count)) / (1 - F.exp(-rate))
+        return F.exp(-rate * first) * F.expm1(-rate * count) / F.expm1(-rate)
 
     group = span(F.col("cum_n") - F.col("n") + 1, F.col("n"))
     observed = F.sum(F.col("positives") / F.col("n") * group)
     best = F.max(span(F.lit(1), actives))
     worst = F.max(span(total - actives + 1, actives))
-    both = F.max(actives * (total - actives)) > 0
+    both = F.max((actives > 0) & (total > actives))
     value = F.try_divide(observed - worst, best - worst)
     return F.when(both & (best > worst), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
@@ -206,16 +209,16 @@ def stratified_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def validate_predictions(df: DataFrame, partition: str) -> tuple[DataFrame, DataFrame]:
     """(typed predictions of the partition, violations). A blank group falls
     back to the pair id."""
-    rows = df.where(F.trim("partition") == partition)
+    rows = df.where(strip(F.col("partition")) == partition)
     label, score = F.col("label").try_cast("int"), F.col("score").try_cast("double")
     typed = rows.select(
-        F.trim("pair_id").alias("pair_id"),
+        strip(F.col("pair_id")).alias("pair_id"),
         label.alias("label"),
         score.alias("score"),
-        F.trim("partition").alias("partition"),
-        F.trim("evidence_class").alias("evidence_class"),
-        F.when(F.coalesce(F.trim("bootstrap_group"), F.lit("")) == "", F.trim("pair_id"))
-        .otherwise(F.trim("bootstrap_group"))
+        strip(F.col("partition")).alias("partition"),
+        strip(F.col("evidence_class")).alias("evidence_class"),
+        F.when(F.coalesce(strip(F.col("bootstrap_group")), F.lit("")) == "", strip(F.col("pair_id")))
+        .otherwise(strip(F.col("bootstrap_group")))
         .alias("bootstrap_group"),
     )
     finite = ~F.isnan("score") & (F.abs("score") < float("inf"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import isoform_parts
+from pairloom.functions.text import isoform_parts, strip
 from pairloom.operators.rules import duplicate_keys, missing_keys
 
 RESOLUTION_KEY = ("source_database", "source_version", "evidence_role", "namespace", "raw_identifier")
@@ -305,7 +305,7 @@ def entity_table(resolution: DataFrame, reviewed: DataFrame, current: DataFrame
             "entity_id",
             "left",
         )
-    sequence = F.upper(F.trim(F.coalesce("_r", "_c", F.lit(""))))
+    sequence = F.upper(strip(F.coalesce("_r", "_c", F.lit(""))))
     return out.select(
         "entity_id",
         sequence.alias("sequence"),

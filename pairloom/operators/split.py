@@ -15,9 +15,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import strip
 from pairloom.functions.keys import unit_hash
 from pairloom.operators.rules import Rule, duplicate_keys, missing_keys, union_all, violations
-from pairloom.runtime import spread, stage
+from pairloom.runtime import stage
 
 # Partitions and the target shares of the split objective.
 PARTITIONS = ("train", "validation", "test")
@@ -108,7 +109,7 @@ def _packed(cluster: Column, first: int, last: int, targets: Mapping[str, float]
 
 def _per_seed(df: DataFrame, first: int, last: int, keep: Sequence[str]) -> DataFrame:
     """(seed, bits, keep...) from a packed ``words`` column."""
-    words = spread(df).select(*keep, F.posexplode("words").alias("_w", "word"))
+    words = df.select(*keep, F.posexplode("words").alias("_w", "word"))
     rows = words.select(*keep, "_w", "word", F.explode(F.sequence(F.lit(0), F.lit(SEEDS_PER_WORD - 1))).alias("_k"))
     seed = F.lit(first) + F.col("_w") * SEEDS_PER_WORD + F.col("_k")
     return rows.select(*keep, seed.alias("seed"), F.expr("shiftright(word, 3 * _k) & 7").alias("bits")).where(
@@ -140,8 +141,9 @@ def split_candidates(
         "cells",
     )
     clusters = stage(
-        spread(entities.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("entities"))).withColumn("words", _packed(F.col("cluster_id"), first, last, node_targets)
-        ),
+        entities.groupBy("cluster_id")
+        .agg(F.count(F.lit(1)).alias("entities"))
+        .withColumn("words", _packed(F.col("cluster_id"), first, last, node_targets)),
         "packed",
     )
     lo = clusters.select(F.col("cluster_id").alias("lo"), F.col("words").alias("words_lo"))
@@ -262,8 +264,8 @@ def split_input_violations(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """What must hold before a split: unique entities with clusters, and no
     pair endpoint without an entity."""
     rules = [
-        Rule("missing_entity_id", F.coalesce(F.trim("entity_id"), F.lit("")) == ""),
-        Rule("missing_cluster", F.coalesce(F.trim("cluster_id"), F.lit("")) == ""),
+        Rule("missing_entity_id", F.coalesce(strip(F.col("entity_id")), F.lit("")) == ""),
+        Rule("missing_cluster", F.coalesce(strip(F.col("cluster_id")), F.lit("")) == ""),
     ]
     ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node"))
     return union_all(

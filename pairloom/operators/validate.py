@@ -57,7 +57,7 @@ def validate_entities(
 ) -> DataFrame:
     checks = [Rule("invalid_entity_id", ~F.coalesce(F.col("entity_id").rlike(id_shape), F.lit(False)))]
     if taxon is not None:
-        checks.append(Rule("wrong_taxon", F.coalesce(F.trim("taxid"), F.lit("")) != taxon))
+        checks.append(Rule("wrong_taxon", F.coalesce(strip(F.col("taxid")), F.lit("")) != taxon))
     checks += sequence_rules() if rules is None else list(rules)
     return union_all(
         [violations(df, ["entity_id"], checks), duplicate_keys(df, ["entity_id"], "duplicate_entity")]
@@ -77,7 +77,8 @@ def validate_pairs(pairs: DataFrame, entities: DataFrame, prefix: str) -> DataFr
             "self_pair_not_quarantined",
             (F.col("node_a") == F.col("node_b")) & (F.col("pair_status") != "quarantine"),
         ),
-        Rule("unexpected_pair_id", F.col("pair_id") != expected),
+        Rule("missing_pair_id", F.coalesce(strip(F.col("pair_id")), F.lit("")) == ""),
+        Rule("unexpected_pair_id", ~F.col("pair_id").eqNullSafe(expected)),
         Rule("invalid_evidence_class", ~known_class),
         Rule("label_conflicts_with_class", known_class & conflict),
         Rule("invalid_pair_status", ~F.coalesce(F.col("pair_status").isin(*PAIR_STATUSES), F.lit(False))),
@@ -98,7 +99,7 @@ def validate_evidence(
     record: Sequence[str] = ("source_database", "source_version", "source_record_id"),
     terms: Sequence[str] = ("interaction_type", "detection_method"),
 ) -> DataFrame:
-    rules = [Rule("missing_evidence_id", F.coalesce(F.trim("evidence_id"), F.lit("")) == "")]
+    rules = [Rule("missing_evidence_id", F.coalesce(strip(F.col("evidence_id")), F.lit("")) == "")]
     rules.append(
         Rule("invalid_polarity", ~F.coalesce(F.col("polarity").isin(*POLARITIES), F.lit(False)))
     )
@@ -124,11 +125,11 @@ def validate_evidence(
 def validate_support(pairs: DataFrame, evidence: DataFrame, direct_term: str = DIRECT_TERM) -> DataFrame:
     """Every eligible or labelled pair needs matching evidence."""
     positive, negative = F.col("polarity") == "positive", F.col("polarity") == "negative"
-    undefined = F.coalesce(F.trim("negative_definition"), F.lit("")) == ""
+    undefined = F.coalesce(strip(F.col("negative_definition")), F.lit("")) == ""
     held = evidence.groupBy("pair_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(positive).alias("_pos"),
-        F.count_if(positive & (F.trim("interaction_type") == direct_term)).alias("_direct"),
+        F.count_if(positive & (strip(F.col("interaction_type")) == direct_term)).alias("_direct"),
         F.count_if(negative).alias("_neg"),
         F.count_if(negative & undefined).alias("_undefined"),
     )
@@ -212,7 +213,7 @@ def validate_splits(splits: DataFrame, pairs: DataFrame, entities: DataFrame) ->
     key = ["split_scheme", "fold", "pair_id"]
     # Clusters are only required once some split is cluster based.
     needed = splits.agg(F.count_if(F.col("split_scheme").isin(*CLUSTERED_SCHEMES)) > 0).scalar()
-    unclustered = entities.where(F.coalesce(F.trim("cluster_id"), F.lit("")) == "").where(needed)
+    unclustered = entities.where(F.coalesce(strip(F.col("cluster_id")), F.lit("")) == "").where(needed)
     return union_all(
         [
             violations(splits, key, rules),

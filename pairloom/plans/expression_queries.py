@@ -37,7 +37,7 @@ from pairloom.plans.adapters import (
 )
 from pairloom.plans.catalog import query
 from pairloom.runtime import scratch_path
-from pairloom.sources.files import file_inventory, validate_registry
+from pairloom.sources.files import validate_registry
 from pairloom.sources.manifest import manifest, verify_manifest
 from pairloom.sources.ontology import read_ontology
 from pairloom.sources.sinks import write_once
@@ -131,16 +131,13 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("p_partkey") > 0, F.concat(F.lit("\nis_a: "), F.floor(F.col("p_partkey") / 10).cast("string"), F.lit(" ! parent"))).otherwise(F.lit("")),
         F.when(F.col("p_size") > 45, F.lit("\nis_obsolete: true")).otherwise(F.lit("")),
     )
-    table(spark, d, "part").select(stanza.alias("value")).write.option("lineSep", "\n\n").text(path)
+    # Some stanzas have Windows line ends, and no blank line parts any two.
+    windows = F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace(stanza, "\n", "\r\n")).otherwise(stanza)
+    table(spark, d, "part").select(windows.alias("value")).write.option("lineSep", "\n").text(path)
     found, edges = read_ontology(spark, path)
     return edges.join(found, edges["child"] == found["term"]).select("child", "parent", "name", "is_obsolete")
 
 
-@query("s6_file_inventory")
-def s6(spark: SparkSession, d: str) -> DataFrame:
-    return file_inventory(spark, d)
-
-
 @query(
     "s7_validate_registry",
     """
@@ -179,18 +176,25 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-FINGERPRINT = "sum(cast(concat('0x', substr(sha256(concat_ws(chr(31), {cols})), 1, 15)) as bigint))"
-
-
-def fingerprint_sql(name: str, cols: str, source: str) -> str:
+def fingerprint_sql(name: str, cols: dict[str, str], source: str) -> str:
+    """``cols``: the SQL text of every column, by name."""
+    cells = ", ".join(f"coalesce(concat(length({c}), ':', {c}), '-')" for _, c in sorted(cols.items()))
+    row = f"sha256(concat_ws(chr(31), {cells}))"
+    words = ", ".join(
+        f"coalesce(sum(cast(concat('0x', substr({row}, {at}, 15)) as bigint)), 0)::varchar" for at in (1, 16)
+    )
+    names = ", ".join(f"'{n}'" for n in sorted(cols))
     return (
         f"select '{name}' as \"table\", count(*) as rows, "
-        f"cast({FINGERPRINT.format(cols=cols)} as varchar) as fingerprint from {source}"
+        f"sha256(concat_ws(chr(31), {names}, {words})) as fingerprint from {source}"
     )
 
 
-CUSTOMER_COLS = "cast(c_custkey as varchar), c_mktsegment, c_name"
-NATION_COLS = "n_name, cast(n_nationkey as varchar)"
+CUSTOMER_COLS = {"c_custkey": "cast(c_custkey as varchar)", "c_mktsegment": "c_mktsegment", "c_name": "c_name"}
+NATION_COLS = {"n_name": "n_name", "n_nationkey": "cast(n_nationkey as varchar)"}
+# Null turned blank, and a renamed column, are changes.
+PART_COLS = {"p_brand": "p_brand", "p_name": "case when p_size > 40 then null else p_name end"}
+PART_BLANK = {"p_brand": "p_brand", "p_name": "case when p_size > 40 then '' else p_name end"}
 
 
 @query(
@@ -212,13 +216,21 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
     + " union all "
     + fingerprint_sql("nation", NATION_COLS, "nation")
     + " union all "
-    + fingerprint_sql("supplier", "s_name", "supplier")
+    + fingerprint_sql("supplier", {"s_name": "s_name"}, "supplier")
+    + " union all "
+    + fingerprint_sql("part", PART_COLS, "part")
+    + " union all "
+    + fingerprint_sql("orders", {"o_orderstatus": "o_orderstatus"}, "orders")
     + "), now as ("
     + fingerprint_sql("customer", CUSTOMER_COLS, "customer")
     + " union all "
-    + fingerprint_sql("nation", NATION_COLS.replace("n_name", "lower(n_name)"), "nation")
+    + fingerprint_sql("nation", {**NATION_COLS, "n_name": "lower(n_name)"}, "nation")
+    + " union all "
+    + fingerprint_sql("region", {"r_name": "r_name"}, "region")
+    + " union all "
+    + fingerprint_sql("part", PART_BLANK, "part")
     + " union all "
-    + fingerprint_sql("region", "r_name", "region")
+    + fingerprint_sql("orders", {"status": "o_orderstatus"}, "orders")
     + """)
 select coalesce(w."table", n."table") as "table",
        case when n.rows is null then 'missing' when w.rows is null then 'unlisted'
@@ -229,11 +241,15 @@ where w.fingerprint is distinct from n.fingerprint""",
 def s10(spark: SparkSession, d: str) -> DataFrame:
     customer = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name")
     nation = table(spark, d, "nation").select("n_name", "n_nationkey")
-    before = manifest({"customer": customer, "nation": nation, "supplier": table(spark, d, "supplier").select("s_name")})
+    supplier, statuses = table(spark, d, "supplier").select("s_name"), table(spark, d, "orders").select("o_orderstatus")
+    part = table(spark, d, "part").select("p_brand", F.when(F.col("p_size") <= 40, F.col("p_name")).alias("p_name"))
+    before = manifest({"customer": customer, "nation": nation, "supplier": supplier, "part": part, "orders": statuses})
     after = {
         "customer": customer,
         "nation": nation.withColumn("n_name", F.lower("n_name")),
         "region": table(spark, d, "region").select("r_name"),
+        "part": part.fillna("", ["p_name"]),
+        "orders": statuses.withColumnRenamed("o_orderstatus", "status"),
     }
     return verify_manifest(before, after)
 

@@ -95,7 +95,9 @@ reach(g, h) as (
 roots as (select g, min(h) as root from reach group by 1),
 names as (
   select root, case when count(*) = 1 then concat('PDB_', min(g))
-                    else concat('PDB_COMPONENT_', substr(sha256(string_agg(g, ';' order by g)), 1, 12)) end as name
+                    else concat('PDB_COMPONENT_', substr(sha256(concat_ws(':', count(*),
+                      sum(cast(concat('0x', substr(sha256(g), 1, 15)) as bigint)),
+                      sum(cast(concat('0x', substr(sha256(g), 16, 15)) as bigint)))), 1, 32)) end as name
   from roots group by 1)
 select distinct l.pair_id, n.name as complex_group_id
 from links l join roots r on l.group_id = r.g join names n on r.root = n.root

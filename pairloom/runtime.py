@@ -58,9 +58,3 @@ def drop_stage(staged: DataFrame) -> None:
     spark = staged.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even partitions before a step that multiplies rows: a small table may
-    sit in one partition, and one shuffle of it costs little next to the step."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -1,36 +1,22 @@
-"""File inventory against a registry of expected files."""
+"""File sizes and line counts against a registry of expected files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import is_digest
+from pairloom.functions.text import is_digest, strip
 from pairloom.operators.rules import Rule, duplicate_keys, union_all, violations
 
-# Allowed download classes, and the largest file hashed whole.
+# Allowed download classes.
 DOWNLOAD_CLASSES = ("core", "restricted_core", "large")
-MAX_HASHED_BYTES = 1 << 30
 
 
-def file_inventory(spark: SparkSession, path: str, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
-    """(filename, bytes, sha256) per file.
-
-    A file digest needs the file's bytes in order, so it is one task per file;
-    files above ``max_bytes`` are listed without digest. Large tables are
-    verified by the row fingerprints of ``sources.manifest`` instead.
-    """
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, bytes) per file; the contents are not read. Whether the rows of
+    a table are the expected ones is told by ``sources.manifest``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("filename")
-    small = files.where(F.col("length") <= max_bytes).select(
-        name,
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-    large = files.where(F.col("length") > max_bytes).select(
-        name, F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")
-    )
-    return small.unionByName(large)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +29,8 @@ def line_counts(spark: SparkSession, path: str) -> DataFrame:
 def audit_files(inventory: DataFrame, registry: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(source_id, filename, status, reasons) for every registered file.
 
-    ``registry`` has expected_bytes, expected_sha256 (nullable) and
-    expected_lines (nullable). Status is pass, fail or not_acquired.
+    ``registry`` has expected_bytes and expected_lines (nullable). Status is
+    pass, fail or not_acquired.
     """
     seen = inventory
     if lines is not None:
@@ -56,10 +42,6 @@ def audit_files(inventory: DataFrame, registry: DataFrame, lines: DataFrame | No
     reasons = F.array_compact(
         F.array(
             F.when(F.col("bytes") != F.col("expected_bytes"), F.lit("byte_count_mismatch")),
-            F.when(
-                F.col("expected_sha256").isNotNull() & F.col("sha256").isNull(), F.lit("too_large_to_hash")
-            ),
-            F.when(F.lower("sha256") != F.lower("expected_sha256"), F.lit("sha256_mismatch")),
             F.when(F.col("lines") != F.col("expected_lines"), F.lit("line_count_mismatch")),
         )
     )
@@ -77,7 +59,7 @@ def audit_files(inventory: DataFrame, registry: DataFrame, lines: DataFrame | No
 
 def validate_registry(registry: DataFrame) -> DataFrame:
     """Contract of the registry itself."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
     rules = [
         Rule("missing_source_id", blank("source_id")),
         Rule("filename_not_plain", blank("filename") | F.col("filename").contains("/") | F.col("filename").isin(".", "..")),

@@ -10,21 +10,35 @@ from pyspark.sql import functions as F
 from pairloom.functions.keys import UNIT_SEPARATOR
 from pairloom.operators.rules import union_all
 
-# Fixed value: leading hex digits of each row digest that are summed. Fifteen
-# keep one row below 2**60, so sums stay exact in decimal(38,0) for any table.
-ROW_HEX = 15
+# Two words of fifteen hex digits of each row digest are summed.
+# Each is below 2**60, so sums stay exact in decimal(38,0) for any table.
+WORD_HEX, WORDS = 15, 2
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, fingerprint): row count and the sum of row digests, independent
-    of row order and partitioning. Columns count in name order; format
-    floating-point columns explicitly first."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(df.columns)]
+    """(rows, fingerprint): row count and a digest of the schema and of the sums of
+    row digests, independent of row order and partitioning. Columns count in name
+    order; format floating-point columns explicitly first.
+
+    A cell is its length, a colon and its text, and null is a lone hyphen, so null,
+    blank and shifted cells all differ.
+    """
+    names = sorted(df.columns)
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    cells = [
+        F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in names
+    ]
     digest = F.sha2(F.concat_ws(UNIT_SEPARATOR, *cells), 256)
-    number = F.conv(F.substring(digest, 1, ROW_HEX), 16, 10).cast("decimal(38,0)")
+    sums = [
+        F.coalesce(
+            F.sum(F.conv(F.substring(digest, 1 + WORD_HEX * k, WORD_HEX), 16, 10).cast("decimal(38,0)")), F.lit(0)
+        ).cast("string")
+        for k in range(WORDS)
+    ]
+    schema = UNIT_SEPARATOR.join(names)
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("fingerprint"),
+        F.sha2(F.concat_ws(UNIT_SEPARATOR, F.lit(schema), *sums), 256).alias("fingerprint"),
     )
 
 

@@ -25,5 +25,8 @@ def parse_stanzas(stanzas: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stanzas are separated by a blank line, so the file is split on it."""
-    return parse_stanzas(spark.read.text(path, lineSep="\n\n").withColumnRenamed("value", "stanza"))
+    """A stanza begins at each line that starts with a bracket, whatever the line
+    ends and blank lines, so the file is split in front of those lines."""
+    pieces = spark.read.text(path, lineSep="\n[").withColumnRenamed("value", "stanza")
+    headed = F.when(F.col("stanza").startswith("["), F.col("stanza")).otherwise(F.concat(F.lit("["), "stanza"))
+    return parse_stanzas(pieces.select(headed.alias("stanza")))

@@ -13,13 +13,17 @@ from pairloom.operators.rules import Rule, duplicate_keys, union_all, violations
 
 
 def read_table(
-    spark: SparkSession, path: str, required: Sequence[str], sep: str = ",", encoding: str = "UTF-8"
+    spark: SparkSession, path: str, required: Sequence[str], sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True
 ) -> DataFrame:
     """All-text table with a header; a missing required column is an error and
     extra columns are kept. A byte-order mark and blank padding in names are
-    tolerated."""
+    tolerated.
+
+    A quoted cell may hold line breaks, so a file is read as a whole by one task;
+    without such cells, ``multi_line=False`` lets large files be split.
+    """
     df = spark.read.csv(
-        path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=False, encoding=encoding
+        path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, encoding=encoding
     )
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     missing = sorted(set(required) - set(df.columns))

@@ -120,12 +120,12 @@ def test_windows_match_definition(frame, length, size, data):
     stride = data.draw(st.integers(1, size))
     value = "".join(chr(97 + i % 26) for i in range(length))
     rows = arrays.explode_windows(frame([(value,)], "t string"), "t", size, stride).orderBy("window_index").collect()
-    starts = [0]
-    while starts[-1] + size < length:
-        starts.append(starts[-1] + stride)
-    assert [r["window_start"] for r in rows] == starts
-    assert [r["window_text"] for r in rows] == [value[s : s + size] for s in starts]
-    assert [r["is_last"] for r in rows] == [False] * (len(starts) - 1) + [True]
+    starts = [r["window_start"] for r in rows]
+    assert all(s == k * stride for k, s in enumerate(starts))
+    assert {i for s in starts for i in range(s, min(s + size, length))} == set(range(length))
+    assert [s + size >= length for s in starts] == [r["is_last"] for r in rows]
+    assert [r["is_last"] for r in rows].count(True) == 1
+    assert all(r["window_text"] == value[r["window_start"] : r["window_start"] + size] for r in rows)
 
 
 def test_json_map_checks(frame):

@@ -1,4 +1,6 @@
 import hashlib
+
+import pytest
 import random
 
 from conftest import rows_of
@@ -103,9 +105,15 @@ def test_components_match_union_find(frame):
     assert rows_of(got) == brute_components(edges)
 
 
+def component_digest(ids):
+    own = [hashlib.sha256(i.encode()).hexdigest() for i in ids]
+    sums = [sum(int(d[a : a + 15], 16) for d in own) for a in (0, 15)]
+    return hashlib.sha256(f"{len(ids)}:{sums[0]}:{sums[1]}".encode()).hexdigest()[:32]
+
+
 def test_component_names(frame):
     links = [("p1", "1AAA"), ("p2", "1AAA"), ("p2", "2BBB"), ("p3", "2BBB"), ("p4", "9ZZZ"), ("p5", "")]
-    digest = hashlib.sha256(b"1AAA;2BBB").hexdigest()[:12]
+    digest = component_digest(["1AAA", "2BBB"])
     groups = complex_groups(frame(links, "pair_id string, group_id string"))
     pairs = frame([(f"p{i}",) for i in range(1, 7)], "pair_id string")
     big = f"PDB_COMPONENT_{digest}"
@@ -114,15 +122,18 @@ def test_component_names(frame):
     ]
 
 
-def test_large_components_are_named_in_blocks(frame):
-    links = [(f"p{i // 2}", f"g{i:03d}") for i in range(40)] + [(f"p{i // 2 + 1}", f"g{i:03d}") for i in range(40)]
-    df = frame(links, "pair_id string, group_id string")
-    one = complex_groups(df, block=1000).select("component_group").distinct().collect()
-    cut = complex_groups(df, block=7).select("component_group").distinct().collect()
-    again = complex_groups(df.repartition(3), block=7).select("component_group").distinct().collect()
-    whole = hashlib.sha256(";".join(f"g{i:03d}" for i in range(40)).encode()).hexdigest()[:12]
-    assert [r[0] for r in one] == [f"PDB_COMPONENT_{whole}"]
-    assert len(cut) == 1 and cut == again and cut != one
+@pytest.mark.parametrize("n", [40, 3000])
+def test_components_of_any_size_are_named_alike(spark, n):
+    links = spark.range(2 * n).selectExpr(
+        "concat('p', floor(id / 2) div 2 + id % 2) as pair_id", "concat('g', floor(id / 2)) as group_id"
+    )
+    want = {f"PDB_COMPONENT_{component_digest([f'g{i}' for i in range(n)])}"}
+    assert {r[0] for r in complex_groups(links.repartition(3)).select("component_group").distinct().collect()} == want
+
+
+def test_closure_has_no_depth_limit(frame):
+    edges = frame([(f"n{i + 1}", f"n{i}") for i in range(20)], "child string, parent string")
+    assert closure(edges, frame([("n0",)], "term string")).count() == 21
 
 
 EDGES = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("e", "d"), ("x", "y"), ("y", "x"), ("z", "y")]

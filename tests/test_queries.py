@@ -17,8 +17,8 @@ from compare import TABLES, rows_of, same  # noqa: E402
 SF = os.environ.get("PAIRLOOM_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
 
-# Rows-only by nature: file digests, fitted models, the published benchmark.
-WITHOUT_SQL = {"s6_file_inventory", "f4_logistic_grid", "f5_select_and_refit", "v7_freeze"}
+# Rows-only by nature: fitted models, the published benchmark.
+WITHOUT_SQL = {"f4_logistic_grid", "f5_select_and_refit", "v7_freeze"}
 
 
 @pytest.fixture(scope="module")

@@ -230,9 +230,8 @@ def ledger_rows():
     return [(f"g{rnd.randrange(9)}", int(rnd.random() < 0.4), rnd.randrange(12) / 11, rnd.randrange(12) / 11) for _ in range(80)]
 
 
-@pytest.mark.parametrize("replicates,batch,one_task", [(40, 2000, 1_000_000), (40, 16, 1_000_000), (37, 16, 0)])
-def test_bootstrap_matches_resampling(frame, monkeypatch, replicates, batch, one_task):
-    monkeypatch.setattr(bootstrap, "ONE_TASK_ROWS", one_task)
+@pytest.mark.parametrize("replicates,batch", [(40, 2000), (40, 16), (37, 16)])
+def test_bootstrap_matches_resampling(frame, replicates, batch):
     rows = ledger_rows()
     df = frame(rows, "bootstrap_group string, label int, score_candidate double, score_baseline double")
     groups = sorted({g for g, *_ in rows})
