@@ -178,13 +178,13 @@ def mix(
     cells = (
         sized.groupBy("shard", "source")
         .agg(F.sum("size").alias("cell_size"))
-        .withColumn("blocks", F.ceil(F.col("cell_size") / F.lit(block)).cast("long"))
+        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("cell_size") / F.lit(block))).cast("long"))
         .alias("c")
         .join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-        .select("c.shard", "c.source", "c.blocks", "t.source_size", "t.target")
+        .select("c.shard", "c.source", "c.blocks", "c.cell_size", "t.source_size", "t.target")
         .withColumn(
             "votes",
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0),
+            F.when(F.col("cell_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0),
         )
         .withColumn("house", F.round(F.sum("votes").over(Window.partitionBy("shard"))).cast("long"))
         .withColumn("cap", F.col("blocks") * most_repeats)
@@ -192,7 +192,7 @@ def mix(
     # The start of the even spread: a seeded phase of each stream.
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     quotas = sainte_lague(cells, "shard", "source", "votes", "house", "cap").withColumn(
-        "phase", F.when(F.col("blocks") > 0, _drawn(seed, F.col("shard"), name) % F.col("blocks"))
+        "phase", _drawn(seed, F.col("shard"), name) % F.col("blocks")
     )
     stream = Window.partitionBy("shard", "source").orderBy("at", "doc_id", "size")
     placed = sized.withColumn(
