@@ -253,7 +253,7 @@ inventory as (
 mapping as (
   select concat('ACC', lpad(cast(p_partkey % 997 as varchar), 4, '0')) as source,
          concat('T', cast(p_partkey % 997 as varchar), '_', cast(p_size as varchar)) as target
-  from part where p_size <= 5),
+  from part),
 reviewed as (
   select distinct target, upper(concat('SEQ', target)) as sequence
   from mapping where split_part(target, '_', 2) in ('1', '2')),
@@ -321,7 +321,7 @@ def identifier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target) id mapping with 1:1, 1:n and unmapped sources."""
     node = F.col("p_partkey") % 997
-    return table(spark, sf_dir, "part").where(F.col("p_size") <= 5).select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("ACC"), F.lpad(node.cast("string"), 4, "0")).alias("source"),
         F.concat(F.lit("T"), node.cast("string"), F.lit("_"), F.col("p_size").cast("string")).alias("target"),
     )

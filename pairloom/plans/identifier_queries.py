@@ -457,7 +457,7 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 NODE_TABLE_SQL = PAIRS_SQL + """,
 known_nodes as (
-  select distinct concat('N', lpad(cast(p_partkey % 997 as varchar), 4, '0')) as entity_id from part where p_size > 20)"""
+  select distinct concat(case when p_size > 20 then 'N' else 'Z' end, lpad(cast(p_partkey % 997 as varchar), 4, '0')) as entity_id from part)"""
 
 
 @query(
@@ -468,8 +468,8 @@ select entity_id as key, 'used' as outcome from known_nodes where entity_id in (
 union all select e, 'endpoint_without_entity' from used where e not in (select entity_id from known_nodes)""",
 )
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "part").where(F.col("p_size") > 20).select(
-        F.concat(F.lit("N"), F.lpad((F.col("p_partkey") % 997).cast("string"), 4, "0")).alias("entity_id")
+    known = table(spark, d, "part").select(
+        F.concat(F.when(F.col("p_size") > 20, F.lit("N")).otherwise(F.lit("Z")), F.lpad((F.col("p_partkey") % 997).cast("string"), 4, "0")).alias("entity_id")
     ).distinct()
     used, missing = used_entities(labelled_pairs(spark, d), known)
     return used.select(F.col("entity_id").alias("key"), F.lit("used").alias("outcome")).unionByName(
@@ -480,16 +480,17 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "j11_coverage",
     """
-with wanted as (select c_custkey as k from customer where c_acctbal > 0),
-seen as (select o_custkey as k, count(*) as n from orders where o_orderstatus <> 'P' group by 1)
+with wanted as (select case when c_acctbal > 0 then c_custkey else -c_custkey end as k from customer),
+seen as (select case when o_orderstatus <> 'P' then o_custkey else -2 * o_custkey end as k, count(*) as n from orders group by 1)
 select coalesce(w.k, s.k) as k, i.issue from wanted w full join seen s on w.k = s.k,
   unnest([case when s.k is null then 'missing' when w.k is null then 'unexpected' end,
           case when s.n > 1 then 'duplicate' end]) as i(issue)
 where i.issue is not null""",
 )
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("k"))
-    seen = table(spark, d, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_custkey").alias("k"))
+    customer, order = F.col("c_custkey"), F.col("o_custkey")
+    wanted = table(spark, d, "customer").select(F.when(F.col("c_acctbal") > 0, customer).otherwise(-customer).alias("k"))
+    seen = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") != "P", order).otherwise(-2 * order).alias("k"))
     return coverage(wanted, seen, ["k"])
 
 
@@ -539,15 +540,19 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     "j14_apply_clusters",
     "with " + PAIRS_SQL + """,
 members as (
-  select first(entity_id order by entity_id) over (partition by cluster_id) as rep, entity_id from nodes where entity_id <> 'N0007'
+  select first(entity_id order by entity_id) over (partition by cluster_id) as rep, entity_id
+  from (select case when entity_id = 'N0007' then 'X7' else entity_id end as entity_id, cluster_id from nodes)
   union all select 'N0001', 'N0002' union all select 'N0003', 'X1')
 select entity_id as key, case when rep is null then '' else concat('CLU_', rep) end as outcome from nodes n left join members m using (entity_id)
-union all select 'N0007', 'missing_member' union all select 'N0002', 'duplicate_member' union all select 'X1', 'unexpected_member'""",
+union all select 'N0007', 'missing_member' union all select 'N0002', 'duplicate_member' union all select 'X1', 'unexpected_member' union all select 'X7', 'unexpected_member'
+union all select distinct rep, 'unknown_representative' from members where rep = 'X7'""",
 )
 def j14(spark: SparkSession, d: str) -> DataFrame:
     nodes = entities(spark, d)
-    reps = nodes.where(F.col("entity_id") != "N0007").groupBy("cluster_id").agg(F.min("entity_id").alias("representative"))
-    real = nodes.where(F.col("entity_id") != "N0007").join(reps, "cluster_id").select(
+    wrong = F.when(F.col("entity_id") == "N0007", F.lit("X7")).otherwise(F.col("entity_id"))
+    listed = nodes.withColumn("entity_id", wrong)
+    reps = listed.groupBy("cluster_id").agg(F.min("entity_id").alias("representative"))
+    real = listed.join(reps, "cluster_id").select(
         "representative", F.col("entity_id").alias("member")
     )
     # One repeated and one unknown member, taken from two of the nodes.
@@ -566,12 +571,14 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     """
 select cast(c_custkey as varchar) as key, 'c_mktsegment' as "column", c_mktsegment as before, lower(c_mktsegment) as after
 from customer where c_nationkey = 3 and c_acctbal >= 0
-union all select cast(c_custkey as varchar), '(row)', 'present', 'absent' from customer where c_acctbal < 0""",
+union all select cast(c_custkey as varchar), '(row)', 'present', 'absent' from customer where c_acctbal < 0
+union all select cast(-c_custkey as varchar), '(row)', 'absent', 'present' from customer where c_acctbal < 0""",
 )
 def j15(spark: SparkSession, d: str) -> DataFrame:
     before = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
     changed = F.when(F.col("c_nationkey") == 3, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
-    after = before.where(F.col("c_acctbal") >= 0).withColumn("c_mktsegment", changed)
+    renamed = F.when(F.col("c_acctbal") < 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    after = before.withColumns({"c_mktsegment": changed, "c_custkey": renamed})
     after = after.withColumn("c_name", F.upper("c_name"))
     return unchanged_except(before, after, ["c_custkey"], ["c_name"])
 
@@ -585,7 +592,7 @@ members as (
   select o_custkey as group_id, concat('O', cast(o_orderkey as varchar)) as query,
          concat('P', cast(o_orderkey % 5000 as varchar)) as entity_id from orders),
 train as (
-  select concat('P', cast(p_partkey as varchar)) as entity_id from part where p_size <= 10),
+  select concat(case when p_size <= 10 then 'P' else 'Q' end, cast(p_partkey as varchar)) as entity_id from part),
 good as (select * from hits where identity >= 0.3 and least(qcov, tcov) >= 0.5),
 audit as (
   select m.group_id, bool_or(m.entity_id in (select entity_id from train)) as direct_overlap,
@@ -615,7 +622,9 @@ def similarity(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
         F.concat(F.lit("O"), "o_orderkey").alias("query"),
         F.concat(F.lit("P"), F.col("o_orderkey") % 5000).alias("entity_id"),
     )
-    train = table(spark, d, "part").where(F.col("p_size") <= 10).select(F.concat(F.lit("P"), "p_partkey").alias("entity_id"))
+    train = table(spark, d, "part").select(
+        F.concat(F.when(F.col("p_size") <= 10, F.lit("P")).otherwise(F.lit("Q")), "p_partkey").alias("entity_id")
+    )
     return members, hits, train
 
 
@@ -660,7 +669,7 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     "with " + ASSESS_SQL + """,
 reviews as (
   select o_orderkey, o_orderstatus = 'F' as include, o_totalprice < 300000 as ok, o_orderpriority like '1%' as consulted,
-         o_orderpriority like '2%' as no_reason from orders where o_custkey % 3 = 0),
+         o_orderpriority like '2%' as no_reason from orders),
 joined as (select r.*, len(a.reasons) = 0 as auto from reviews r join assessed a using (o_orderkey))
 select 'included_but_ineligible' as outcome, count(*) as n from joined where include and not auto
 union all select 'selection_saw_outputs', count(*) from joined where include and consulted
@@ -673,7 +682,7 @@ union all select 'excluded', count(*) from joined where not include""",
 )
 def j18(spark: SparkSession, d: str) -> DataFrame:
     candidates = assessed_orders(spark, d).select("o_orderkey", F.col("eligible").alias("auto_eligible"))
-    reviews = table(spark, d, "orders").where(F.col("o_custkey") % 3 == 0).select(
+    reviews = table(spark, d, "orders").select(
         "o_orderkey",
         (F.col("o_orderstatus") == "F").alias("include"),
         F.lit(True).alias("assembly_confirmed"),

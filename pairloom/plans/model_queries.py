@@ -236,9 +236,9 @@ def f8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accepted_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Resolution of the raw nodes: parts up to size 40 give accepted nodes."""
-    known = table(spark, d, "part").where(F.col("p_size") <= 40).select(
-        F.concat(F.lit("N"), F.lpad((F.col("p_partkey") % 997).cast("string"), 4, "0")).alias("raw_identifier")
+    """Resolution of the raw nodes: parts up to size 40 give nodes that are used."""
+    known = table(spark, d, "part").select(
+        F.concat(F.when(F.col("p_size") <= 40, F.lit("N")).otherwise(F.lit("Z")), F.lpad((F.col("p_partkey") % 997).cast("string"), 4, "0")).alias("raw_identifier")
     ).distinct()
     roles = F.explode(F.array(F.lit("positive_evidence"), F.lit("negative_evidence")))
     return known.select(
@@ -266,7 +266,7 @@ def built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 BUILD_SQL = KEPT_SQL.replace(
     "obs as (",
-    "known as (select distinct concat('N', lpad(cast(p_partkey % 997 as varchar), 4, '0')) as id from part where p_size <= 40),\nobs_all as (",
+    "known as (select distinct concat(case when p_size <= 40 then 'N' else 'Z' end, lpad(cast(p_partkey % 997 as varchar), 4, '0')) as id from part),\nobs_all as (",
     1,
 ).replace(
     "named as (",
