@@ -13,9 +13,9 @@ from pairloom.operators.classify import (
     classify_evidence,
     decision_counts,
     eligible,
-    route,
     screen_filter,
     stable_sample,
+    write_routed,
 )
 from pairloom.operators.coverage import (
     align,
@@ -64,6 +64,7 @@ from pairloom.plans.adapters import (
     table,
 )
 from pairloom.plans.catalog import query
+from pairloom.runtime import scratch_path
 
 # --------------------------------------------------------- classification
 
@@ -140,8 +141,9 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
 select v.d as decision, count(*) as n from cascade where v.d in ('candidate', 'review') group by 1""",
 )
 def c2(spark: SparkSession, d: str) -> DataFrame:
-    branches = route(classify_evidence(evidence_rows(spark, d), SETTINGS), ["candidate", "review"])
-    return union_all(list(branches.values())).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    rows = classify_evidence(evidence_rows(spark, d), SETTINGS)
+    routed = write_routed(rows, scratch_path(spark, "routed"), ["candidate", "review"])
+    return routed.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 ASSESS_SQL = """
