@@ -228,7 +228,59 @@ def mix(
     )
 
 
-@query("op10_mix")
+# The whole apportionment spelled out: every quotient is a row and is ranked.
+_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('17-' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as drawn
+  from documents),
+w as (
+  select source, sum(size)::bigint as ss, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from d group by source),
+o as (
+  select *, row_number() over p as stop,
+    3 * coalesce(sum(ss) over (p rows between unbounded preceding and 1 preceding), 0) as spent,
+    coalesce(sum(weight) over (p rows between unbounded preceding and 1 preceding), 0) as passed
+  from w window p as (order by ss::double / weight, source nulls last)),
+l as (
+  select *, ((select sum(ss) from w) - spent)::double / ((select sum(weight) from w) - passed)::double as level from o),
+t as (
+  select source, ss, least(3.0 * ss, weight * coalesce(
+    (select min_by(level, stop) from l where 3 * ss > weight * level), 0.0))::double as target from l),
+n as (
+  select greatest(1, least(32, coalesce(min(ss) filter (ss > 0), 1) // 16))::bigint as block,
+    greatest(1, ceil(sum(ss) / 262144.0))::bigint as shards from t),
+s as (select d.*, drawn % shards as shard, block from d, n),
+c as (
+  select shard, s.source, ss, target, block, greatest(1, ceil(sum(size)::double / block))::bigint as blocks,
+    case when sum(size) > 0 then target / ss * greatest(1, ceil(sum(size)::double / block)) else 0.0 end as votes
+  from s join t on s.source is not distinct from t.source group by shard, s.source, t.source, ss, target, block),
+h as (select *, round(sum(votes) over (partition by shard))::bigint as house from c),
+q as (
+  select shard, source, house, votes, votes / (2 * k + 1) as quotient
+  from (select *, unnest(range(0, 3 * blocks)) as k from h where votes > 0)),
+r as (
+  select * from q qualify row_number() over (
+    partition by shard order by quotient desc, votes desc, source nulls last) <= house),
+z as (
+  select h.*, coalesce(x.seats, 0) as seats,
+    ('0x' || substr(md5('17-' || h.shard || '-' || coalesce('s' || h.source, 'null')), 1, 15))::bigint % blocks as phase
+  from h left join (select shard, source, count(*) as seats from r group by all) x
+    on h.shard = x.shard and h.source is not distinct from x.source),
+e as (
+  select *, sum(size) over (partition by shard, source order by drawn, doc_id, size rows unbounded preceding)::bigint as stop from s),
+b as (
+  select e.doc_id, e.size, z.ss, z.target, z.shard, unnest([e.stop, e.stop - e.size]) as x, unnest([1, -1]) as sign,
+    z.block, seats // blocks as every, seats % blocks as rest, blocks, phase, e.stop
+  from e join z on e.shard = z.shard and e.source is not distinct from z.source)
+select doc_id, size, ss as source_size, target, shard,
+  sum(sign * (every * x + ((x // block * rest + phase) // blocks) * block
+    + (((x // block + 1) * rest + phase) // blocks - (x // block * rest + phase) // blocks) * (x % block)))::bigint as taken
+from b group by doc_id, size, ss, target, shard, stop
+"""
+
+
+@query("op10_mix", _SQL)
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 5, 2, 1 with at most three repeats."""
     return mix(table(spark, sf_dir, "documents"))
