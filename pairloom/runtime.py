@@ -52,9 +52,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stage(staged: DataFrame) -> None:
     """Delete the files of a table that ``stage`` wrote, once its successor is
     written. The frame, and every frame made from it, is then unreadable."""
-    spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(staged.sparkSession, staged.staged_path)
+
+
+def drop_all_stages(spark: SparkSession) -> None:
+    """Delete everything this application staged, once its results are written."""
+    _delete(spark, f"{work_dir(spark)}/pairloom/{spark.sparkContext.applicationId}")
