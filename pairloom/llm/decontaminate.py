@@ -3,9 +3,11 @@
 An item of L words is compared with windows of L words. Every window and item
 has a 64-bit SimHash of its words, cut into ``RADIUS + 1`` blocks: two fingerprints
 within the radius agree in at least one block, so a join on (length, block number,
-block value) finds all of them. What the join finds is verified exactly: the
-five-word shingles that window and item share, each counted as often as both hold
-it, must weigh at least 80 percent of the item.
+block value) finds all of them. Windows may share 80 percent of an item and be further
+away; these are found by a join on shingles: of two sorted lists that share so many,
+the first ones share one. What the joins find is verified exactly: the five-word
+shingles that window and item share, each counted as often as both hold it, must weigh
+at least 80 percent of the item. A document shorter than the item is one window.
 
 A verified window needs that share of its places filled by shingles of items of
 its length, so windows with fewer are left out before they are fingerprinted.
@@ -87,11 +89,13 @@ def windows_of(docs: DataFrame, lengths: list[int], known: np.ndarray, sized: np
     def starts_of(places: np.ndarray, shingles: np.ndarray, n: int, total: int) -> np.ndarray:
         spots = n - WIDTH + 1
         least = -(-PERCENT * spots // 100)
-        if total < n or len(places) < least:
+        if len(places) < least:
             return places[:0]
         own = places[fetch.holds(sized, _of_length(shingles, n) & mask)]
         if len(own) < least:
             return own[:0]
+        if total < n:
+            return np.zeros(1, np.int64)
         # A place counts for the windows that start up to spots - 1 before it.
         change = np.zeros(total - n + 2, np.int64)
         low, high = np.maximum(own - spots + 1, 0), np.minimum(own, total - n) + 1
@@ -119,8 +123,9 @@ def windows_of(docs: DataFrame, lengths: list[int], known: np.ndarray, sized: np
                     places = hits[i:j] - a
                     for n in lengths:
                         for s in starts_of(places, shingles[hits[i:j]], n, total).tolist():
-                            own = np.sort(shingles[a + s : a + s + n - WIDTH + 1]).view(np.int64)
-                            values = (ids[row + t].as_py(), s, n, fingerprint(hashes[a + s : a + s + n]), own)
+                            end = a + min(s + n, total)
+                            own = np.sort(shingles[a + s : end - WIDTH + 1]).view(np.int64)
+                            values = (ids[row + t].as_py(), s, n, fingerprint(hashes[a + s : end]), own)
                             for column, value in zip(out, values):
                                 column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
@@ -162,6 +167,21 @@ def near_prints(left: DataFrame, right: DataFrame, key: list[str], radius: int =
     return pairs.withColumn("distance", bits).where((F.col("distance") <= radius) & (F.col("block") == first))
 
 
+def far_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs of one length that may share enough shingles though their ``print`` differ in
+    more than ``radius`` bits, each once: all but the shingles that have to be shared, and
+    one more, are the first of a list, and two such heads have one in common."""
+    spots = F.col("n_words") - (WIDTH - 1)
+    least = F.ceil(spots * PERCENT / 100).cast("int")
+    head = F.array_distinct(F.slice("shingles", 1, F.greatest(F.size("shingles") - least + 1, F.lit(0))))
+    x = windows.withColumn("head", head).withColumn("s", F.explode("head"))
+    y = items.withColumn("head_y", head).withColumn("s", F.explode("head_y"))
+    pairs = x.join(y.withColumnsRenamed({"print": "print_y", "shingles": "shingles_y"}), ["n_words", "s"])
+    return pairs.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("print_y")))).where(
+        (F.col("distance") > radius) & (F.col("s") == F.array_min(F.array_intersect("head", "head_y")))
+    )
+
+
 def _shared_weight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared = []
@@ -198,8 +218,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
         "leak-windows",
     )
-    pairs = near_prints(windows, known, ["n_words"])
-    checked = pairs.select("doc_id", "item_id", "start", "n_words", "distance", "shingles", "shingles_y").mapInArrow(
+    columns = ["doc_id", "item_id", "start", "n_words", "distance", "shingles", "shingles_y"]
+    pairs = near_prints(windows, known, ["n_words"]).select(columns).union(far_pairs(windows, known).select(columns))
+    checked = pairs.mapInArrow(
         _shared_weight, "doc_id bigint, item_id bigint, start int, n_words int, distance int, shared int"
     )
     best = F.struct("shared", (-F.col("start")).alias("back"), "n_words", (-F.col("distance")).alias("nearness"))
