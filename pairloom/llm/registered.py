@@ -13,6 +13,7 @@ from pairloom.llm import (  # noqa: F401
     quality_rules,
     secrets,
     token_counts,
+    token_files,
 )
 from pairloom.llm.catalog import ORACLES, QUERIES
 
