@@ -14,6 +14,7 @@ from pairloom.llm import (  # noqa: F401
     secrets,
     token_counts,
     token_files,
+    vector_codes,
 )
 from pairloom.llm.catalog import ORACLES, QUERIES
 
