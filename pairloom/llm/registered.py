@@ -8,6 +8,7 @@ from pairloom.llm import (  # noqa: F401
     line_dedup,
     mixing,
     ngram_join,
+    periodic_runs,
     pii,
     quality_model,
     quality_rules,
