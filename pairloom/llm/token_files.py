@@ -46,9 +46,10 @@ MAGIC = b"TOKRANK1"
 HEAD = "<4Q"
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
-#: Words whose ids a task keeps, and the longest such word in bytes.
+#: Words whose ids a task keeps, the longest such word in bytes, and texts taken at once.
 CACHED_WORDS = 1 << 19
 CACHED_BYTES = 32
+TEXTS = 512
 
 _PLACES = np.arange(4, dtype=np.uint8)
 #: Lengths of the four values of every control byte.
@@ -77,18 +78,28 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return at_any_byte[start] & MASKS[length]
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of every byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Ids of a word as bytes, from the library, kept for words that come again.
 
     The tokenizer turns white space into blanks and drops them, and no merge crosses a
-    blank, so the ids of a text are those of its words. An ASCII word is also cut in front
-    of its trailing marks where a letter stands before them, and its letters are lowered;
-    letters alone are one piece of the model.
+    blank, so the ids of a text are those of its words. A word of Latin letters (those
+    that normalisation leaves alone and whose small form is one letter) is one piece of
+    the model, and ASCII marks behind it are pieces of their own.
     """
 
     def __init__(self, tokenizer, width: np.dtype) -> None:
-        self.tokenizer, self.width = tokenizer, width
-        self.marks = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+        self.tokenizer = tokenizer
+        self.bytes_of = [np.array(i, width).tobytes() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.shown = byte_letters()
+        latin = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+"
+        self.plain = re.compile(rf"({latin})([!-/:-@\[-`{{-~]*)").fullmatch
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.encoded(word)
@@ -99,17 +110,18 @@ class WordIds(dict):
         return ids
 
     def encoded(self, word: bytes) -> bytes:
-        if word.isascii() and b"<|" not in word:
-            core = word.rstrip(self.marks)
-            low = core.lower()
-            if low.isalpha():
-                if core == word == low:
-                    return self.packed([t.id for t in self.tokenizer.model.tokenize(word.decode())])
-                return self[low] + (self[word[len(core) :]] if len(core) < len(word) else b"")
-        return self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        text = word.decode()
+        if found := self.plain(text):
+            letters, marks = found.groups()
+            low = letters.lower()
+            if marks or low != letters:
+                return self[low.encode()] + (self[marks.encode()] if marks else b"")
+            shown = word.decode("latin-1").translate(self.shown)
+            return self.packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 @dataclass(frozen=True)
@@ -173,12 +185,15 @@ def token_ids(docs: DataFrame, encoder: Encoder, key: str = "doc_id", text: str
         words = WordIds(tokenizer, encoder.width)
         end = words.packed([encoder.end_id])
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            if encoder.by_words:
-                ids = [b"".join(map(words.__getitem__, (t or b"").split())) + end for t in texts]
-            else:
-                ids = [words.packed(tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids) + end for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts = part.column(1).cast(pa.large_binary()).to_pylist()
+                if encoder.by_words:
+                    ids = [b"".join(map(words.__getitem__, (t or b"").split())) + end for t in texts]
+                else:
+                    found = (tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids for t in texts)
+                    ids = [words.packed(i) + end for i in found]
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(encode, "key long, ids binary").withColumn("row", F.monotonically_increasing_id())
