@@ -20,6 +20,7 @@ from pairloom.operators.ordered import (
     sliced_running_totals,
     with_slices,
 )
+from pairloom.operators.ranking import METRICS, ScoreState
 from pairloom.operators.rules import union_all
 from pairloom.runtime import stage
 
@@ -40,52 +41,59 @@ def draw_weights(groups: DataFrame, by: Sequence[str], first: int, last: int, se
     """(by, block, bootstrap_group, d0..d15): how often each replicate of a
     block of sixteen drew the group.
 
-    Every group row produces the draws that carry its own number, so the draw
-    list is generated in parallel from the group table itself. A block keeps
-    its replicates side by side, which divides the rows of all later steps.
+    Every group row produces the draws that carry its own number. Blocks are
+    dealt out over all tasks before their replicates are drawn, so a group
+    table of one partition does not draw all of them in one task; the counts
+    need no further shuffle.
     """
-    draws = groups.select(
-        *by,
-        "n_groups",
-        F.col("group_no").alias("draw"),
-        F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate"),
-    )
-    taken = F.floor(unit_hash(seed, F.concat_ws(":", "replicate", "draw")) * F.col("n_groups"))
-    block = F.floor(F.col("replicate") / BLOCK).cast("int")
-    counted = draws.groupBy(*by, block.alias("block"), taken.alias("group_no")).agg(
-        *[F.count_if(F.col("replicate") % BLOCK == k).alias(f"d{k}") for k in range(BLOCK)]
+    blocks = F.sequence(F.lit(first // BLOCK), F.lit((last - 1) // BLOCK))
+    rows = groups.select(*by, "n_groups", F.col("group_no").alias("draw"), F.explode(blocks).alias("block"))
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, *by, "block")
+    place = F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))
+    drawn = dealt.select("*", place.alias("k")).where(F.col("block") * BLOCK + F.col("k") < last)
+    key = F.concat_ws(":", F.col("block") * BLOCK + F.col("k"), "draw")
+    taken = F.floor(unit_hash(seed, key) * F.col("n_groups"))
+    counted = drawn.groupBy(*by, "block", taken.alias("group_no")).agg(
+        *[F.count_if(F.col("k") == k).cast("int").alias(f"d{k}") for k in range(BLOCK)]
     )
     named = counted.join(groups.select(*by, "group_no", "bootstrap_group"), [*by, "group_no"])
     return named.drop("group_no")
 
 
-def unblocked(df: DataFrame, by: Sequence[str], values: Sequence[str], name: str, last: int) -> DataFrame:
-    """One row per replicate from the sixteen value columns of a block."""
+def unblocked(df: DataFrame, by: Sequence[str], names: Sequence[str], last: int) -> DataFrame:
+    """One row per replicate from the columns ``<name>_<k>`` of a block."""
     cells = F.array(
-        *[F.struct((F.col("block") * BLOCK + k).alias("replicate"), F.col(v).alias(name)) for k, v in enumerate(values)]
+        *[
+            F.struct((F.col("block") * BLOCK + k).alias("replicate"), *[F.col(f"{m}_{k}").alias(m) for m in names])
+            for k in range(BLOCK)
+        ]
     )
-    long = df.select(*by, F.explode(cells).alias("c")).select(*by, "c.replicate", f"c.{name}")
+    long = df.select(*by, F.explode(cells).alias("c")).select(*by, "c.replicate", *[f"c.{m}" for m in names])
     return long.where(F.col("replicate") < last)
 
 
-def replicate_average_precision(
+def replicate_metrics(
     df: DataFrame,
     by: Sequence[str],
     scores: Sequence[str],
+    names: Sequence[str],
     replicates: int,
     seed: int,
     group: str = "bootstrap_group",
     batch: int = 2000,
 ) -> DataFrame:
-    """(by, score_name, replicate, average_precision) per replicate. ``batch``
-    is a multiple of the block size.
+    """(by, score_name, replicate, one column per metric name) per replicate.
+    ``names`` are keys of ``ranking.METRICS``; ``batch`` is a multiple of the
+    block size.
 
     The score order is the same in every replicate, so the range slices of the
     running totals are fixed once on the distinct scores; a replicate only
-    brings new weights. With more replicates than ``batch``, each batch's
-    result, one short row per replicate, is staged before the next begins.
+    brings new weights, and all metrics read the same weighted totals. With
+    more replicates than ``batch``, each batch's result, one short row per
+    replicate, is staged before the next begins.
     """
-    by = list(by)
+    by, names = list(by), list(names)
     groups = stage(numbered_groups(df, by, group), "groups")
     sides = F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in scores])
     long = df.select(*by, F.col(group).alias("bootstrap_group"), "label", F.explode(sides).alias("s"))
@@ -107,24 +115,16 @@ def replicate_average_precision(
         counts = (
             cells.join(draw_weights(groups, by, first, last, seed), [*by, "bootstrap_group"])
             .groupBy(*keys, "_slice", "score")
-            .agg(
-                *[F.sum(F.col("n") * F.col(f"d{k}")).alias(f"n{k}") for k in columns],
-                *[F.sum(F.col("positives") * F.col(f"d{k}")).alias(f"p{k}") for k in columns],
-            )
+            .agg(*[F.sum(F.col(v) * F.col(f"d{k}")).alias(f"{v}_{k}") for v in ("n", "positives") for k in columns])
         )
-        run = sliced_running_totals(counts, keys, order, [f"{v}{k}" for v in "np" for k in columns])
-        done = run.groupBy(*keys).agg(*[_block_average_precision(k).alias(f"v{k}") for k in columns])
-        rows = unblocked(done, [*by, "score_name"], [f"v{k}" for k in columns], "average_precision", last)
-        parts.append(stage(rows, "replicates"))
+        run = sliced_running_totals(counts, keys, order, [f"{v}_{k}" for v in ("n", "positives") for k in columns])
+        done = run.groupBy(*keys).agg(
+            *[METRICS[m](ScoreState.named(f"_{k}")).alias(f"{m}_{k}") for m in names for k in columns]
+        )
+        parts.append(stage(unblocked(done, [*by, "score_name"], names, last), "replicates"))
     return union_all(parts)
 
 
-def _block_average_precision(k: int) -> Column:
-    """Sum of positives x precision over score groups, over all positives."""
-    hits = F.when(F.col(f"p{k}") > 0, F.col(f"p{k}") * F.col(f"cum_p{k}") / F.col(f"cum_n{k}"))
-    return F.try_divide(F.sum(hits), F.sum(f"p{k}").cast("double"))
-
-
 def interval(values: DataFrame, by: Sequence[str], value: str, replicates: int) -> DataFrame:
     """(by, replicates_requested, replicates_valid, lower_95, upper_95)."""
     by = list(by)
@@ -140,27 +140,67 @@ def interval(values: DataFrame, by: Sequence[str], value: str, replicates: int)
     )
 
 
+def _measures(df: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(by, metric, value) from a row with one column per metric."""
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])
+    return df.select(*by, F.explode(cells).alias("c")).select(*by, "c.metric", "c.value")
+
+
+def _nothing_drawn(df: DataFrame, by: Sequence[str], names: Sequence[str], replicates: int) -> DataFrame:
+    slices = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    return slices.select(
+        *by,
+        F.explode(F.array(*map(F.lit, names))).alias("metric"),
+        F.lit(replicates).alias("replicates_requested"),
+        F.lit(0).cast("bigint").alias("replicates_valid"),
+        F.lit(None).cast("double").alias("lower_95"),
+        F.lit(None).cast("double").alias("upper_95"),
+    )
+
+
+def bootstrap_intervals(
+    df: DataFrame,
+    by: Sequence[str],
+    names: Sequence[str],
+    replicates: int,
+    seed: int,
+    score: str = "score",
+    **kwargs,
+) -> DataFrame:
+    """(by, metric, interval) of any metrics of ``ranking.METRICS``, all on the same
+    draws. A replicate in which a metric is not defined does not count for it."""
+    if replicates <= 0:
+        return _nothing_drawn(df, by, names, replicates)
+    values = replicate_metrics(df, by, [score], names, replicates, seed, **kwargs)
+    return interval(_measures(values, by, names), [*by, "metric"], "value", replicates)
+
+
+def bootstrap_deltas(
+    aligned: DataFrame, by: Sequence[str], names: Sequence[str], replicates: int, seed: int, **kwargs
+) -> DataFrame:
+    """(by, metric, interval) of candidate minus baseline on the same draws. A
+    replicate counts for a metric only when both values exist."""
+    if replicates <= 0:
+        return _nothing_drawn(aligned, by, names, replicates)
+    scores = ["score_candidate", "score_baseline"]
+    values = replicate_metrics(aligned, by, scores, names, replicates, seed, **kwargs)
+    side = lambda m, s: F.max(F.when(F.col("score_name") == s, F.col(m)))
+    paired = values.groupBy(*by, "replicate").agg(*[(side(m, scores[0]) - side(m, scores[1])).alias(m) for m in names])
+    return interval(_measures(paired, by, names), [*by, "metric"], "value", replicates)
+
+
 def bootstrap_average_precision(
     df: DataFrame, by: Sequence[str], replicates: int, seed: int, score: str = "score", **kwargs
 ) -> DataFrame:
     """Interval of the average precision per slice."""
-    values = replicate_average_precision(df, by, [score], replicates, seed, **kwargs)
-    return interval(values, by, "average_precision", replicates)
+    return bootstrap_intervals(df, by, ["average_precision"], replicates, seed, score, **kwargs).drop("metric")
 
 
 def bootstrap_delta(
     aligned: DataFrame, by: Sequence[str], replicates: int, seed: int, **kwargs
 ) -> DataFrame:
-    """Interval of candidate minus baseline average precision on the same
-    draws. A replicate counts only when both values exist."""
-    values = replicate_average_precision(
-        aligned, by, ["score_candidate", "score_baseline"], replicates, seed, **kwargs
-    )
-    side = lambda name: F.max(F.when(F.col("score_name") == name, F.col("average_precision")))
-    paired = values.groupBy(*by, "replicate").agg(
-        (side("score_candidate") - side("score_baseline")).alias("delta")
-    )
-    return interval(paired, by, "delta", replicates)
+    """Interval of candidate minus baseline average precision per slice."""
+    return bootstrap_deltas(aligned, by, ["average_precision"], replicates, seed, **kwargs).drop("metric")
 
 
 def bootstrap_means(
@@ -183,9 +223,9 @@ def bootstrap_means(
     )
     weights = draw_weights(groups, by, 0, replicates, seed)
     means = [
-        F.try_divide(F.sum(F.col("s") * F.col(f"d{k}")), F.sum(F.col("n") * F.col(f"d{k}"))).alias(f"v{k}")
+        F.try_divide(F.sum(F.col("s") * F.col(f"d{k}")), F.sum(F.col("n") * F.col(f"d{k}"))).alias(f"mean_{k}")
         for k in range(BLOCK)
     ]
     blocks = reduced.join(weights, [*by, "bootstrap_group"]).groupBy("block", *by, "measure").agg(*means)
-    means = unblocked(blocks, [*by, "measure"], [f"v{k}" for k in range(BLOCK)], "mean", replicates)
+    means = unblocked(blocks, [*by, "measure"], ["mean"], replicates)
     return interval(stage(means, "means"), [*by, "measure"], "mean", replicates)

@@ -7,7 +7,8 @@ are cut into range slices, so one huge slice does not land in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,126 +36,143 @@ def score_groups(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return running_totals(counts, by, [F.col("score").desc()], ["n", "positives"])
 
 
-def average_precision_of_groups() -> Column:
-    """Aggregate over the score groups of one slice."""
-    share = F.col("positives") / F.col("all_positives")
-    return F.when(
-        F.max("all_positives") > 0,
-        F.sum(F.when(F.col("all_positives") > 0, share * F.col("cum_positives") / F.col("cum_n"))),
-    )
+@dataclass(frozen=True)
+class ScoreState:
+    """The columns a metric of score groups reads: counts of the group, totals from the
+    top, totals of the slice. A group may be empty, as in a replicate that left it out."""
+
+    score: Column
+    n: Column
+    positives: Column
+    cum_n: Column
+    cum_positives: Column
+    all_n: Column
+    all_positives: Column
+
+    @classmethod
+    def named(cls, suffix: str = "") -> ScoreState:
+        counts = (f"{kind}{name}{suffix}" for kind in ("", "cum_", "all_") for name in ("n", "positives"))
+        return cls(F.col("score"), *map(F.col, counts))
+
+
+Metric = Callable[[ScoreState], Column]
+
 
+def _average_precision(s: ScoreState) -> Column:
+    share = F.try_divide(s.positives, s.all_positives)
+    return F.when(F.max(s.all_positives) > 0, F.sum(F.when(s.positives > 0, F.try_divide(share * s.cum_positives, s.cum_n))))
 
-def _pr_auc() -> Column:
-    seen, hits = F.col("cum_n") - F.col("n"), F.col("cum_positives") - F.col("positives")
-    precision = F.col("cum_positives") / F.col("cum_n")
+
+def _pr_auc(s: ScoreState) -> Column:
+    seen, hits = s.cum_n - s.n, s.cum_positives - s.positives
     previous = F.when(seen == 0, F.lit(1.0)).otherwise(F.try_divide(hits, seen))
-    step = F.try_divide(F.col("positives"), F.col("all_positives"))
-    return F.when(F.max("all_positives") > 0, F.sum(step * (previous + precision) / 2))
+    step = F.try_divide(s.positives, s.all_positives)
+    area = step * (previous + F.try_divide(s.cum_positives, s.cum_n)) / 2
+    return F.when(F.max(s.all_positives) > 0, F.sum(F.when(s.n > 0, area)))
 
 
-def _auroc() -> Column:
-    negatives = F.col("n") - F.col("positives")
-    all_negatives = F.col("all_n") - F.col("all_positives")
-    below = all_negatives - (F.col("cum_n") - F.col("cum_positives"))
+def _auroc(s: ScoreState) -> Column:
+    negatives = s.n - s.positives
+    all_negatives = s.all_n - s.all_positives
+    below = all_negatives - (s.cum_n - s.cum_positives)
     # Products of counts leave the range of bigint: they are taken as doubles.
-    hits = F.col("positives").cast("double")
+    hits = s.positives.cast("double")
     wins = hits * below + F.lit(0.5) * hits * negatives
-    pairs = F.max(F.col("all_positives").cast("double") * all_negatives)
+    pairs = F.max(s.all_positives.cast("double") * all_negatives)
     return F.when(pairs > 0, F.try_divide(F.sum(wins), pairs))
 
 
-def _expected_hits(k: Column) -> Column:
-    room = F.greatest(F.lit(0), k - (F.col("cum_n") - F.col("n")))
-    return F.sum(F.least(F.col("n"), room) * F.col("positives") / F.col("n"))
+def _expected_hits(s: ScoreState, k: Column) -> Column:
+    room = F.greatest(F.lit(0), k - (s.cum_n - s.n))
+    return F.sum(F.try_divide(F.least(s.n, room) * s.positives, s.n))
 
 
 def _one_percent(n: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.ceil(n * F.lit(0.01)))
 
 
-def _bedroc(alpha: float) -> Column:
-    total, actives = F.col("all_n"), F.col("all_positives")
-    rate = F.lit(alpha) / total
+def precision_at(k: int) -> Metric:
+    return lambda s: F.try_divide(_expected_hits(s, F.lit(k)), F.least(F.lit(k), F.max(s.all_n)))
 
-    def span(first: Column, count: Column) -> Column:
-        """Sum of exp(-rate * r) over ``count`` ranks from ``first``."""
-        return F.exp(-rate * first) * F.expm1(-rate * count) / F.expm1(-rate)
 
-    group = span(F.col("cum_n") - F.col("n") + 1, F.col("n"))
-    observed = F.sum(F.col("positives") / F.col("n") * group)
-    best = F.max(span(F.lit(1), actives))
-    worst = F.max(span(total - actives + 1, actives))
-    both = F.max((actives > 0) & (total > actives))
-    value = F.try_divide(observed - worst, best - worst)
-    return F.when(both & (best > worst), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+def recall_at(k: int) -> Metric:
+    return lambda s: F.when(F.max(s.all_positives) > 0, F.try_divide(_expected_hits(s, F.lit(k)), F.max(s.all_positives)))
 
 
-def _in_unit() -> Column:
-    return (F.min("score") >= 0) & (F.max("score") <= 1)
+def _enrichment(s: ScoreState) -> Column:
+    k = _one_percent(s.all_n)
+    hits, rows, actives = _expected_hits(s, k), F.max(s.all_n), F.max(s.all_positives)
+    return F.when(actives > 0, F.try_divide(F.try_divide(hits, F.least(F.max(k), rows)), F.try_divide(actives, rows)))
 
 
-def _brier() -> Column:
-    s, p = F.col("score"), F.col("positives")
-    return F.when(
-        _in_unit(), F.sum(p * (s - 1) * (s - 1) + (F.col("n") - p) * s * s) / F.max("all_n")
-    )
+def bedroc(alpha: float) -> Metric:
+    def metric(s: ScoreState) -> Column:
+        total, actives = s.all_n, s.all_positives
+        rate = F.try_divide(F.lit(alpha), total)
 
+        def span(first: Column, count: Column) -> Column:
+            """Sum of exp(-rate * r) over ``count`` ranks from ``first``."""
+            return F.try_divide(F.exp(-rate * first) * F.expm1(-rate * count), F.expm1(-rate))
 
-def _ece(bins: int) -> Column:
-    inside = F.col("score").between(0, 1)
-    index = F.when(inside, F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)))
-    gap = F.col("positives") - F.col("score") * F.col("n")
-    total = sum(
-        (F.abs(F.coalesce(F.sum(F.when(index == i, gap)), F.lit(0.0))) for i in range(bins)), F.lit(0.0)
-    )
-    return F.when(_in_unit(), total / F.max("all_n"))
-
-
-def metrics_from_groups(groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The full metric row of every slice, one aggregation over score groups."""
-    n, positives = F.max("all_n"), F.max("all_positives")
-    k1 = _one_percent(F.col("all_n"))
-    top1 = _expected_hits(k1)
-    base = groups.groupBy(*by).agg(
-        n.alias("n"),
-        positives.alias("positives"),
-        (n - positives).alias("negatives"),
-        (positives / n).alias("prevalence"),
-        average_precision_of_groups().alias("average_precision"),
-        _pr_auc().alias("pr_auc_trapezoid"),
-        _auroc().alias("auroc"),
-        _expected_hits(F.lit(50)).alias("_h50"),
-        _expected_hits(F.lit(100)).alias("_h100"),
-        top1.alias("_h1"),
-        F.max(k1).alias("k_at_1_percent"),
-        _bedroc(BEDROC_ALPHA).alias("bedroc_alpha_20"),
-        _brier().alias("brier_score"),
-        _ece(ECE_BINS).alias("ece_10_equal_width"),
-    )
+        group = span(s.cum_n - s.n + 1, s.n)
+        observed = F.sum(F.try_divide(s.positives, s.n) * group)
+        best = F.max(span(F.lit(1), actives))
+        worst = F.max(span(total - actives + 1, actives))
+        both = F.max((actives > 0) & (total > actives))
+        value = F.try_divide(observed - worst, best - worst)
+        return F.when(both & (best > worst), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
-    def precision(hits: str, k: Column) -> Column:
-        return F.col(hits) / F.least(k, F.col("n"))
+    return metric
 
-    has = F.col("positives") > 0
-    return base.select(
-        *by,
-        "n",
-        "positives",
-        "negatives",
-        "prevalence",
-        "average_precision",
-        "pr_auc_trapezoid",
-        "auroc",
-        precision("_h50", F.lit(50)).alias("precision_at_50"),
-        precision("_h100", F.lit(100)).alias("precision_at_100"),
-        F.when(has, F.col("_h50") / F.col("positives")).alias("recall_at_50"),
-        F.when(has, F.col("_h100") / F.col("positives")).alias("recall_at_100"),
-        F.when(has, precision("_h1", F.col("k_at_1_percent")) / F.col("prevalence")).alias("ef_at_1_percent"),
-        "bedroc_alpha_20",
-        "k_at_1_percent",
-        "brier_score",
-        "ece_10_equal_width",
-    )
+
+def _in_unit(s: ScoreState) -> Column:
+    held = F.when(s.n > 0, s.score)
+    return (F.min(held) >= 0) & (F.max(held) <= 1)
+
+
+def _brier(s: ScoreState) -> Column:
+    x, p = s.score, s.positives
+    return F.when(_in_unit(s), F.try_divide(F.sum(p * (x - 1) * (x - 1) + (s.n - p) * x * x), F.max(s.all_n)))
+
+
+def calibration_error(bins: int) -> Metric:
+    def metric(s: ScoreState) -> Column:
+        inside = s.score.between(0, 1)
+        index = F.when(inside, F.least(F.floor(s.score * bins), F.lit(bins - 1)))
+        gap = s.positives - s.score * s.n
+        total = sum(
+            (F.abs(F.coalesce(F.sum(F.when(index == i, gap)), F.lit(0.0))) for i in range(bins)), F.lit(0.0)
+        )
+        return F.when(_in_unit(s), F.try_divide(total, F.max(s.all_n)))
+
+    return metric
+
+
+#: Aggregates over the score groups of one slice, by name; extend it with one's own.
+METRICS: dict[str, Metric] = {
+    "n": lambda s: F.max(s.all_n),
+    "positives": lambda s: F.max(s.all_positives),
+    "negatives": lambda s: F.max(s.all_n) - F.max(s.all_positives),
+    "prevalence": lambda s: F.try_divide(F.max(s.all_positives), F.max(s.all_n)),
+    "average_precision": _average_precision,
+    "pr_auc_trapezoid": _pr_auc,
+    "auroc": _auroc,
+    "precision_at_50": precision_at(50),
+    "precision_at_100": precision_at(100),
+    "recall_at_50": recall_at(50),
+    "recall_at_100": recall_at(100),
+    "ef_at_1_percent": _enrichment,
+    "bedroc_alpha_20": bedroc(BEDROC_ALPHA),
+    "k_at_1_percent": lambda s: F.max(_one_percent(s.all_n)),
+    "brier_score": _brier,
+    "ece_10_equal_width": calibration_error(ECE_BINS),
+}
+
+
+def metrics_from_groups(groups: DataFrame, by: Sequence[str], names: Sequence[str] = tuple(METRICS)) -> DataFrame:
+    """The named metrics of every slice, one aggregation over score groups."""
+    state = ScoreState.named()
+    return groups.groupBy(*by).agg(*[METRICS[m](state).alias(m) for m in names])
 
 
 def metrics(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -164,7 +182,7 @@ def metrics(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) ->
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     groups = score_groups(score_counts(df, by, weight=weight), by)
-    return groups.groupBy(*by).agg(average_precision_of_groups().alias("average_precision"))
+    return metrics_from_groups(groups, by, ["average_precision"])
 
 
 def metric_at_k(df: DataFrame, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -173,7 +191,7 @@ def metric_at_k(df: DataFrame, ks: Sequence[int], by: Sequence[str] = ()) -> Dat
     wide = groups.groupBy(*by).agg(
         F.max("all_n").alias("_n"),
         F.max("all_positives").alias("_p"),
-        *[_expected_hits(F.lit(k)).alias(f"h{k}") for k in ks],
+        *[_expected_hits(ScoreState.named(), F.lit(k)).alias(f"h{k}") for k in ks],
     )
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("expected_hits")) for k in ks])
     return wide.select(*by, "_n", "_p", F.explode(cells).alias("c")).select(

@@ -19,7 +19,7 @@ from pairloom.functions.text import (
     strip_version,
     terms,
 )
-from pairloom.operators.rules import violations
+from pairloom.operators.rules import Rule, violations
 from pairloom.operators.validate import sequence_rules
 from pairloom.plans.adapters import (
     IDS_SQL,
@@ -37,10 +37,11 @@ from pairloom.plans.adapters import (
 )
 from pairloom.plans.catalog import query
 from pairloom.runtime import scratch_path
-from pairloom.sources.files import validate_registry
+from pairloom.sources.files import audit_sources, read_manifests, validate_registry
 from pairloom.sources.manifest import manifest, verify_manifest
 from pairloom.sources.ontology import read_ontology
-from pairloom.sources.sinks import write_once
+from pairloom.sources.ranges import list_files
+from pairloom.sources.sinks import write_gzip_members, write_once
 from pairloom.sources.tables import read_headerless, read_snapshot, read_table, snapshot_rules
 
 
@@ -60,6 +61,19 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, path, columns)
 
 
+@query(
+    "s1_quoted_records",
+    "select cast(doc_id as varchar) as doc_id, source, length(text) as n_chars, md5(text) as text_md5 from documents",
+)
+def s1_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with their line breaks as quoted cells, in files of many blocks."""
+    path = scratch_path(spark, "csv")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs.write.options(header="true", quoteAll="true", escape='"').csv(path)
+    rows = read_table(spark, path, ["doc_id", "text"], block_bytes=1 << 18)
+    return rows.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query(
     "s2_read_headerless",
     """
@@ -111,6 +125,25 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "s3_gzip_members",
+    """
+select rule_id, count(*) as n from (
+  select 'wrong_status' as rule_id from orders where o_orderstatus = 'P'
+  union all select 'row_count_mismatch' from (select count(*) as n from orders) where n <> 1)
+group by 1""",
+)
+def s3_members(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in gzip files of many members, read by ranges of members."""
+    path = scratch_path(spark, "members")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    write_gzip_members(orders, path, member_bytes=1 << 15)
+    names = {"o_orderkey": "order_id", "o_orderstatus": "status", "o_orderdate": "date"}
+    rules = [Rule("wrong_status", ~F.col("status").isin("F", "O"))]
+    _, found = read_snapshot(spark, path, names, "order_id", rules, expected_rows=1, block_bytes=1 << 15)
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s4_json_documents", "select event_id, cast(json_extract(props, '$.k') as integer) as k from events")
 def s4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
@@ -138,6 +171,80 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(found, edges["child"] == found["term"]).select("child", "parent", "name", "is_obsolete")
 
 
+ORDER_LINE_SQL = "concat_ws(chr(9), cast(o_orderkey as varchar), o_orderstatus, cast(o_orderdate as varchar)) || chr(10)"
+
+
+@query(
+    "s6_audit_files",
+    f"""
+with files as (
+  select o_orderpriority as db, o_orderstatus as version, sum(strlen({ORDER_LINE_SQL})) as bytes, count(*) as lines,
+         sha256(string_agg({ORDER_LINE_SQL}, '' order by o_orderkey)) as sha256
+  from orders group by all),
+sources as (
+  select db || '/' || version as source_id, substr(db, 1, 1) || version as k, cast(bytes as bigint) as bytes, lines, sha256 from files
+  union all select distinct o_orderpriority || '/none', 'none', null::bigint, null::bigint, null::varchar from orders)
+select source_id, bytes, sha256, lines,
+       case when k = 'none' then 'not_acquired' when r = '' then 'pass' else 'fail' end as status, r as reasons
+from (select *, case when k = 'none' then '' else concat_ws(';',
+    case when k = '1F' then 'byte_count_mismatch' end, case when k in ('1F', '2F') then 'sha256_mismatch' end,
+    case when k = '1O' then 'line_count_mismatch' end, case when k = '3F' then 'manifest_missing' end,
+    case when k in ('3O', '3P') then 'manifest_invalid' end, case when k = '4F' then 'manifest_source_id_mismatch' end,
+    case when k = '4O' then 'manifest_url_mismatch' end, case when k = '5F' then 'manifest_sha256_mismatch' end,
+    case when k in ('5F', '5O') then 'manifest_byte_count_mismatch' end,
+    case when k = '4P' then 'manifest_time_missing' end, case when k in ('4P', '5P') then 'manifest_license_missing' end) end as r
+  from sources)""",
+)
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as one file per priority and status; faults in the registry and in manifests."""
+    root, told = scratch_path(spark, "raw"), scratch_path(spark, "retrieved")
+    orders = table(spark, d, "orders").select(
+        F.regexp_replace("o_orderpriority", " ", "_").alias("db"), F.col("o_orderstatus").alias("version"), "o_orderkey",
+        F.concat_ws("\t", "o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("string")).alias("value"),
+    )
+    one_file = orders.repartition("db", "version").sortWithinPartitions("db", "version", "o_orderkey")
+    one_file.select("db", "version", "value").write.partitionBy("db", "version").text(root)
+    step = lambda path, back: F.regexp_extract(F.element_at(F.split(path, "/"), -back), "=(.*)", 1)
+    files = list_files(spark, root, "*.txt").withColumn("location", F.concat_ws("/", step("path", 3), step("path", 2)))
+
+    # The registry and the manifests as a fetcher would have noted them, then the faults.
+    line = F.concat("value", F.lit("\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
+    noted = orders.groupBy("db", "version").agg(
+        F.sum(F.octet_length(line)).alias("bytes"), F.count(F.lit(1)).alias("lines"),
+        F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256).alias("sha256"),
+    )
+    absent = noted.select("db").distinct().selectExpr("db", "'none' AS version", "1L AS bytes", "1L AS lines", "repeat('0', 64) AS sha256")
+    k = F.concat(F.substring("db", 1, 1), "version")
+    spoilt = F.lit("0" * 64)
+    registry = noted.unionByName(absent).select(
+        F.concat_ws("/", "db", "version").alias("source_id"), F.concat_ws("/", "db", "version").alias("location"),
+        F.lit("https://example.org").alias("url"),
+        F.when(k == "1F", F.col("bytes") + 1).otherwise(F.col("bytes")).alias("expected_bytes"),
+        F.when(k.isin("1F", "2F"), spoilt).otherwise(F.col("sha256")).alias("expected_sha256"),
+        F.when(k == "1O", F.col("lines") + 1).otherwise(F.col("lines")).alias("expected_lines"),
+    )
+    written = noted.where(k != "3F").select(
+        F.concat_ws("/", "db", "version").alias("source_id"), "db", "version",
+        F.when(k == "3O", F.lit("{no json")).when(k == "3P", F.lit("[1]")).otherwise(
+            F.to_json(F.struct(
+                F.when(k == "4F", F.lit("other")).otherwise(F.concat_ws("/", "db", "version")).alias("source_id"),
+                F.when(k == "4O", F.lit("https://example.org/x")).otherwise(F.lit("https://example.org")).alias("registry_url"),
+                F.when(k == "4P", F.lit(" ")).otherwise(F.lit("2024-01-01T00:00:00Z")).alias("retrieved_at"),
+                F.when(~k.isin("4P", "5P"), F.lit("open")).alias("license_status"),
+                F.struct(
+                    F.when(k == "5F", spoilt).otherwise(F.col("sha256")).alias("sha256"),
+                    F.when(k.isin("5F", "5O"), F.col("bytes") - 1).otherwise(F.col("bytes")).alias("bytes"),
+                ).alias("observed"),
+            ))
+        ).alias("value"),
+    )
+    written.repartition("db", "version").select("db", "version", "value").write.partitionBy("db", "version").text(told)
+    manifests = read_manifests(spark, told).withColumn("source_id", F.concat_ws("/", step("file", 3), step("file", 2)))
+    found = audit_sources(registry, files, manifests)
+    return found.withColumn("source_id", F.regexp_replace("source_id", "_", " "))
+
+
 @query(
     "s7_validate_registry",
     """

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators.bootstrap import bootstrap_average_precision, bootstrap_delta
+from pairloom.operators.bootstrap import (
+    bootstrap_average_precision,
+    bootstrap_delta,
+    bootstrap_deltas,
+    bootstrap_intervals,
+)
 from pairloom.operators.decisions import (
     BOOTSTRAP_SEED,
     REPLICATES,
@@ -221,6 +226,56 @@ reps as (
   select {lead}rep, side, case when max(ap) > 0 then sum(p / ap * cp / cn) end as value from running group by all)"""
 
 
+INTERVAL_METRICS = ["average_precision", "pr_auc_trapezoid", "auroc", "bedroc_alpha_20", "recall_at_50"]
+
+
+def metric_replicates_sql(source: str, by: str, scores: list[str], replicates: int, seed: int) -> str:
+    """``bootstrap_sql`` with all metrics a replicate in ``measured``."""
+    keys = f"{by}, rep, side" if by else "rep, side"
+    part = f"partition by {keys}"
+    return bootstrap_sql(source, by, scores, replicates, seed) + f""",
+weighted as (
+  select {keys}, score, cast(n as bigint) as n, cast(p as bigint) as positives,
+         cast(sum(n) over ({part} order by score desc) as bigint) as cum_n,
+         cast(sum(p) over ({part} order by score desc) as bigint) as cum_positives,
+         cast(sum(n) over ({part}) as bigint) as all_n, cast(sum(p) over ({part}) as bigint) as all_positives
+  from resampled),
+measured as (select {keys}, {metric_columns(15)} from weighted group by all)"""
+
+
+UNPIVOTED = f"""unnest([{", ".join(f"'{m}'" for m in INTERVAL_METRICS)}]) as metric, unnest([{{}}]) as value"""
+BOUNDS = """count(value) as replicates_valid,
+       round(quantile_cont(value, 0.025), 9) as lower_95, round(quantile_cont(value, 0.975), 9) as upper_95"""
+
+
+@query(
+    "m12_metric_intervals",
+    "with " + PREDS_SQL + "," + metric_replicates_sql("preds", "", ["score"], REPLICATES, BOOTSTRAP_SEED) + f""",
+long as (select {UNPIVOTED.format(", ".join(INTERVAL_METRICS))} from measured)
+select metric, cast({REPLICATES} as integer) as replicates_requested, {BOUNDS} from long group by 1""",
+)
+def m12_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of five metrics from one set of draws, in one pass over the scores."""
+    return rounded(bootstrap_intervals(predictions(spark, d), [], INTERVAL_METRICS, REPLICATES, BOOTSTRAP_SEED))
+
+
+@query(
+    "m12_metric_deltas",
+    "with " + SEEDED_SQL + ","
+    + metric_replicates_sql("seeded", "seed", ["score_candidate", "score_baseline"], REPLICATES, BOOTSTRAP_SEED) + f""",
+deltas as (
+  select a.seed, {", ".join(f"a.{m} - b.{m} as {m}" for m in INTERVAL_METRICS)}
+  from measured a join measured b on a.seed = b.seed and a.rep = b.rep
+  where a.side = 'score_candidate' and b.side = 'score_baseline'),
+long as (select seed, {UNPIVOTED.format(", ".join(INTERVAL_METRICS))} from deltas)
+select seed, metric, cast({REPLICATES} as integer) as replicates_requested, {BOUNDS} from long group by 1, 2""",
+)
+def m12_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The same for candidate minus baseline, per seed, on paired draws."""
+    rows = seeded_predictions(spark, d)
+    return rounded(bootstrap_deltas(rows, ["seed"], INTERVAL_METRICS, REPLICATES, BOOTSTRAP_SEED))
+
+
 @query(
     "m12_bootstrap_interval",
     "with " + PREDS_SQL + "," + bootstrap_sql("preds", "", ["score"], REPLICATES, BOOTSTRAP_SEED) + f"""

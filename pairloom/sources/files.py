@@ -1,4 +1,4 @@
-"""File sizes and line counts against a registry of expected files."""
+"""Files and their retrieval manifests against a registry of expected files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import is_digest, strip
 from pairloom.operators.rules import Rule, duplicate_keys, union_all, violations
+from pairloom.sources.digests import whole_digests
+from pairloom.sources.ranges import list_files
 
 # Allowed download classes.
 DOWNLOAD_CLASSES = ("core", "restricted_core", "large")
@@ -15,8 +17,7 @@ DOWNLOAD_CLASSES = ("core", "restricted_core", "large")
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(filename, bytes) per file; the contents are not read. Whether the rows of
     a table are the expected ones is told by ``sources.manifest``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
+    return list_files(spark, path).select("filename", "bytes")
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +58,55 @@ def audit_files(inventory: DataFrame, registry: DataFrame, lines: DataFrame | No
     )
 
 
+#: What a retrieval manifest says.
+_RETRIEVED = "struct<source_id:string,registry_url:string,retrieved_at:string,license_status:string,observed:struct<sha256:string,bytes:bigint>>"
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, manifest): retrieval manifests, one JSON object a file. One that is not
+    an object is a row with a null manifest."""
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    object_only = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{")
+    manifest = F.when(object_only, F.from_json("value", _RETRIEVED))
+    return texts.select(F.col("_metadata.file_path").alias("file"), manifest.alias("manifest"))
+
+
+def audit_sources(registry: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(source_id, status, reasons, bytes, sha256, lines) of every registered source.
+
+    ``registry``: source_id, location (the end of the file's path), url, expected_bytes,
+    and expected_sha256 and expected_lines, which may be null. ``files``: location, path,
+    bytes. ``manifests``: source_id and the manifest, null where it is invalid. Every
+    registered file is digested in one pass, whatever else is below the root. Status is
+    pass, fail or not_acquired; reasons name all findings in a fixed order.
+    """
+    wanted = registry.select("location").distinct()
+    present = files.join(wanted, "location", "left_semi")
+    seen = present.join(whole_digests(present), "path").select("location", "bytes", "sha256", "lines")
+    told = manifests.select(F.col("source_id"), F.lit(True).alias("_told"), F.col("manifest").alias("m"))
+    both = registry.join(seen, "location", "left").join(told, "source_id", "left")
+    absent, m = F.col("bytes").isNull(), F.col("m")
+    read = F.coalesce(F.col("_told"), F.lit(False)) & m.isNotNull()
+    blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
+    checks = {
+        "byte_count_mismatch": F.col("bytes") != F.col("expected_bytes"),
+        "sha256_mismatch": F.col("sha256") != F.col("expected_sha256"),
+        "line_count_mismatch": F.col("lines") != F.col("expected_lines"),
+        "manifest_missing": F.col("_told").isNull(),
+        "manifest_invalid": F.col("_told").isNotNull() & m.isNull(),
+        "manifest_source_id_mismatch": read & ~m["source_id"].eqNullSafe(F.col("source_id")),
+        "manifest_url_mismatch": read & ~m["registry_url"].eqNullSafe(F.col("url")),
+        "manifest_sha256_mismatch": read & ~m["observed"]["sha256"].eqNullSafe(F.col("sha256")),
+        "manifest_byte_count_mismatch": read & ~m["observed"]["bytes"].eqNullSafe(F.col("bytes")),
+        "manifest_time_missing": read & blank(m["retrieved_at"]),
+        "manifest_license_missing": read & blank(m["license_status"]),
+    }
+    found = F.array_compact(F.array(*[F.when(when, F.lit(reason)) for reason, when in checks.items()]))
+    status = F.when(absent, "not_acquired").when(F.size(found) == 0, "pass").otherwise("fail")
+    reasons = F.when(absent, "").otherwise(F.array_join(found, ";"))
+    return both.select("source_id", status.alias("status"), reasons.alias("reasons"), "bytes", "sha256", "lines")
+
+
 def validate_registry(registry: DataFrame) -> DataFrame:
     """Contract of the registry itself."""
     blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""

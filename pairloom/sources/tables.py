@@ -10,21 +10,37 @@ from pyspark.sql import types as T
 
 from pairloom.functions.text import strip
 from pairloom.operators.rules import Rule, duplicate_keys, union_all, violations
+from pairloom.runtime import stage
+from pairloom.sources.ranges import BLOCK_BYTES, list_files, ranges
+from pairloom.sources.records import gzip_blocks, placed, records, scanned
 
 
 def read_table(
-    spark: SparkSession, path: str, required: Sequence[str], sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    required: Sequence[str],
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    multi_line: bool = True,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """All-text table with a header; a missing required column is an error and
     extra columns are kept. A byte-order mark and blank padding in names are
-    tolerated.
+    tolerated, and every file has the header of the first.
 
-    A quoted cell may hold line breaks, so a file is read as a whole by one task;
-    without such cells, ``multi_line=False`` lets large files be split.
+    A quoted cell may hold line breaks. Files up to ``block_bytes`` are read whole, one
+    task each; larger ones are cut at record ends (``sources.records``), gzip files at
+    their members. Single-member gzip files, files with irregular quotes or line ends and
+    encodings other than UTF-8 are read whole at any size. Without such cells,
+    ``multi_line=False`` lets Spark split at every line end.
     """
-    df = spark.read.csv(
-        path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, encoding=encoding
-    )
+    options = {
+        "sep": sep, "header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": encoding,
+    }
+    whole = spark.read.options(**options).csv(path)
+    df = whole
+    if multi_line and encoding.upper().replace("-", "") == "UTF8":
+        df = _split_large(spark, whole, path, options, block_bytes)
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     missing = sorted(set(required) - set(df.columns))
     if missing:
@@ -32,6 +48,35 @@ def read_table(
     return df.fillna("")
 
 
+#: Endings that Spark unpacks on its own; of these only gzip is cut here.
+_PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd")
+
+
+def _split_large(spark: SparkSession, whole: DataFrame, path: str, options: dict, block_bytes: int) -> DataFrame:
+    """``whole`` with its large regular files cut into records. As when Spark plans a
+    scan, the driver knows the names of files, and nothing of what is in them."""
+    files = list_files(spark, path, recursive=False)
+    ending = F.lower("path")
+    packed = F.greatest(*[ending.endswith(e) for e in _PACKED])
+    large = files.where(F.col("bytes") > block_bytes)
+    if large.isEmpty() or any("=" in p.removeprefix(path) for p in whole.inputFiles()):
+        return whole
+    plain = ranges(large.where(~packed), block_bytes).withColumn("gzip", F.lit(False))
+    blocks = plain
+    if not large.where(ending.endswith(".gz")).isEmpty():
+        gzip = gzip_blocks(large.where(ending.endswith(".gz")), block_bytes).withColumn("gzip", F.lit(True))
+        blocks = plain.unionByName(gzip)
+    known = stage(placed(stage(scanned(blocks, options["sep"]), "blocks"), options["sep"]), "blocks")
+    regular = known.where(~F.col("irregular"))
+    cut = {r["path"] for r in regular.where("block = 0").select("path").toLocalIterator()}
+    names = whole.columns
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(names))), {k: str(options[k]) for k in ("sep", "quote", "escape")})
+    parsed = records(regular).select(cells.alias("c")).select(*[F.col(f"c.c{i}").alias(f"c{i}") for i in range(len(names))])
+    left = [r["path"] for r in files.select("path").toLocalIterator() if r["path"] not in cut]
+    out = parsed.toDF(*names)
+    return out.union(spark.read.options(**options).csv(left).toDF(*names)) if left else out
+
+
 def read_headerless(
     spark: SparkSession, path: str, columns: Sequence[str], patterns: Mapping[str, str] | None = None, sep: str = "\t"
 ) -> tuple[DataFrame, DataFrame]:
@@ -64,14 +109,15 @@ def read_snapshot(
     expected_rows: int | None = None,
     partitions: int | None = None,
     sep: str = "\t",
+    block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(records, violations) of a gzip reference snapshot.
 
     ``columns`` maps file columns to record columns; ``rules`` are checked on
-    the renamed records. Gzip is read by one task per file, so the rows are
-    spread afterwards.
+    the renamed records. A gzip file of one member is read by one task, so the
+    rows are spread afterwards.
     """
-    raw = read_table(spark, path, list(columns), sep=sep)
+    raw = read_table(spark, path, list(columns), sep=sep, block_bytes=block_bytes)
     records = raw.select(*[strip(F.col(f"`{src}`")).alias(dst) for src, dst in columns.items()])
     records = records.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = [violations(records, [key], rules)] if rules else []

@@ -251,6 +251,47 @@ def test_bootstrap_matches_resampling(frame, replicates, batch):
     assert math.isclose(one["lower_95"], percentile(singles, 0.025), abs_tol=1e-9)
 
 
+NAMED = ["average_precision", "pr_auc_trapezoid", "auroc", "bedroc_alpha_20", "recall_at_50", "brier_score", "ef_at_1_percent", "ece_10_equal_width"]
+
+
+@pytest.mark.parametrize("batch", [2000, 16])
+def test_bootstrap_of_named_metrics(frame, batch):
+    """Every metric of every replicate against the metric of the copied rows."""
+    rows = ledger_rows()
+    df = frame(rows, "bootstrap_group string, label int, score_candidate double, score_baseline double")
+    groups = sorted({g for g, *_ in rows})
+    want = {}
+    for r in range(37):
+        sample = [row for g in draws(5, r, groups) for row in rows if row[0] == g]
+        for side, at in (("score_candidate", 2), ("score_baseline", 3)):
+            want[side, r] = brute([(row[1], row[at]) for row in sample])
+    values = bootstrap.replicate_metrics(df, [], ["score_candidate", "score_baseline"], NAMED, 37, 5, batch=batch).collect()
+    assert len(values) == len(want)
+    for row in values:
+        for m in NAMED:
+            x, y = row[m], want[row["score_name"], row["replicate"]][m]
+            assert (x is None) == (y is None) and (x is None or math.isclose(x, y, abs_tol=1e-9)), (m, row["replicate"])
+    got = {r["metric"]: r for r in bootstrap.bootstrap_deltas(df, [], NAMED, 37, 5, batch=batch).collect()}
+    for m in NAMED:
+        deltas = [want["score_candidate", r][m] - want["score_baseline", r][m] for r in range(37) if want["score_candidate", r][m] is not None]
+        assert got[m]["replicates_valid"] == len(deltas)
+        assert math.isclose(got[m]["lower_95"], percentile(deltas, 0.025), abs_tol=1e-9)
+        assert math.isclose(got[m]["upper_95"], percentile(deltas, 0.975), abs_tol=1e-9)
+
+
+def test_bootstrap_of_slices_and_of_nothing(frame):
+    rows = [(i % 2, *r) for i, r in enumerate(ledger_rows())] + [(2, "g0", 0, 0.5, 0.5)]
+    df = frame(rows, "seed int, bootstrap_group string, label int, score double, score_baseline double")
+    both = bootstrap.bootstrap_intervals(df, ["seed"], ["auroc", "brier_score"], 20, 3)
+    got = {(r["seed"], r["metric"]): r for r in both.collect()}
+    one = {r["metric"]: r for r in bootstrap.bootstrap_intervals(df.where("seed = 1"), [], ["auroc", "brier_score"], 20, 3).collect()}
+    assert len(got) == 6 and got[2, "auroc"]["replicates_valid"] == 0 and got[2, "auroc"]["lower_95"] is None
+    for m in one:
+        assert math.isclose(got[1, m]["lower_95"], one[m]["lower_95"]) and got[1, m]["replicates_valid"] == one[m]["replicates_valid"]
+    none = bootstrap.bootstrap_intervals(df, ["seed"], ["auroc"], 0, 3).collect()
+    assert sorted((r["seed"], r["replicates_requested"], r["replicates_valid"], r["lower_95"]) for r in none) == [(s, 0, 0, None) for s in range(3)]
+
+
 def test_bootstrap_counts_replicates_without_positives_as_invalid(frame):
     rows = [("g0", 1, 0.9)] + [(f"g{i}", 0, 0.1 * i) for i in range(1, 5)]
     df = frame(rows, "bootstrap_group string, label int, score double")
