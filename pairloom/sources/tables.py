@@ -55,24 +55,27 @@ _PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd")
 def _split_large(spark: SparkSession, whole: DataFrame, path: str, options: dict, block_bytes: int) -> DataFrame:
     """``whole`` with its large regular files cut into records. As when Spark plans a
     scan, the driver knows the names of files, and nothing of what is in them."""
-    files = list_files(spark, path, recursive=False)
-    ending = F.lower("path")
-    packed = F.greatest(*[ending.endswith(e) for e in _PACKED])
-    large = files.where(F.col("bytes") > block_bytes)
-    if large.isEmpty() or any("=" in p.removeprefix(path) for p in whole.inputFiles()):
+    files = [(r["path"], r["bytes"]) for r in list_files(spark, path, recursive=False).collect()]
+    large = [f for f in files if f[1] > block_bytes]
+    if not large or any("=" in p.removeprefix(path) for p, _ in files):
         return whole
-    plain = ranges(large.where(~packed), block_bytes).withColumn("gzip", F.lit(False))
-    blocks = plain
-    if not large.where(ending.endswith(".gz")).isEmpty():
-        gzip = gzip_blocks(large.where(ending.endswith(".gz")), block_bytes).withColumn("gzip", F.lit(True))
-        blocks = plain.unionByName(gzip)
-    known = stage(placed(stage(scanned(blocks, options["sep"]), "blocks"), options["sep"]), "blocks")
+    plain = [f for f in large if not f[0].lower().endswith(_PACKED)]
+    packed = [f for f in large if f[0].lower().endswith(".gz")]
+    blocks = []
+    if plain:
+        blocks.append(ranges(spark.createDataFrame(plain, "path string, bytes long"), block_bytes).withColumn("gzip", F.lit(False)))
+    if packed:
+        members = gzip_blocks(spark.createDataFrame(packed, "path string, bytes long"), block_bytes)
+        blocks.append(members.withColumn("gzip", F.lit(True)))
+    if not blocks:
+        return whole
+    known = placed(stage(scanned(union_all(blocks), options["sep"]), "blocks"), options["sep"])
     regular = known.where(~F.col("irregular"))
     cut = {r["path"] for r in regular.where("block = 0").select("path").toLocalIterator()}
     names = whole.columns
     cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(names))), {k: str(options[k]) for k in ("sep", "quote", "escape")})
     parsed = records(regular).select(cells.alias("c")).select(*[F.col(f"c.c{i}").alias(f"c{i}") for i in range(len(names))])
-    left = [r["path"] for r in files.select("path").toLocalIterator() if r["path"] not in cut]
+    left = [p for p, _ in files if p not in cut]
     out = parsed.toDF(*names)
     return out.union(spark.read.options(**options).csv(left).toDF(*names)) if left else out
 
