@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pairloom.operators.bootstrap import bootstrap_delta, bootstrap_means
 from pairloom.operators.coverage import align
 from pairloom.operators.ranking import average_precision, metrics
-from pairloom.operators.rules import union_all
+from pairloom.operators.rules import duplicate_keys, union_all
+from pairloom.runtime import stage
 
 # The metrics summarised across seeds, and the gate's margins.
 SUMMARY_METRICS = (
@@ -31,6 +32,8 @@ FRACTION_MARGIN = -0.10
 ACCEPTABLE_SCORE = 0.23
 REPLICATES = 2000
 BOOTSTRAP_SEED = 20260915
+REGISTERED_SEEDS = (42, 123, 999)
+REQUIRED_COHORTS = ("balanced_explicit_1to1", "full_evidence_pool", "balanced_curated_1to1", "balanced_screen_1to1")
 
 
 def seed_summary(per_seed: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -132,34 +135,105 @@ def suite_rows(predictions: DataFrame, cohorts: DataFrame) -> tuple[DataFrame, D
     return rows, union_all([mismatch, missing])
 
 
+def coverage_plan(
+    predictions: DataFrame, cohorts: DataFrame, rows: DataFrame, seeds: Sequence[int], names: Sequence[str] | None
+) -> DataFrame:
+    """(cohort, seed, issue): the grid of mandatory cohorts and registered seeds; issue is
+    null where the slice holds every member once.
+
+    ``names`` defaults to the cohorts there are. Only counts per slice meet the grid.
+    """
+    n_seeds = F.explode(F.array(*map(F.lit, seeds))).alias("seed")
+    if names is None:
+        listed = cohorts.select("cohort").distinct()
+    else:
+        listed = cohorts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("cohort"))
+    size = cohorts.groupBy("cohort").agg(F.count_distinct("pair_id").alias("_members"))
+    got = rows.groupBy("cohort", "seed").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("pair_id").alias("_pairs"))
+    grid = listed.select("cohort", n_seeds).join(size, "cohort", "left").join(got, ["cohort", "seed"], "left")
+    issue = (
+        F.when(F.col("_members").isNull(), F.lit("missing_cohort"))
+        .when(F.col("_pairs").isNull(), F.lit("missing_seed"))
+        .when(F.col("_pairs") < F.col("_members"), F.lit("incomplete_slice"))
+        .when(F.col("_rows") > F.col("_pairs"), F.lit("repeated_pairs"))
+    )
+    return grid.select("cohort", "seed", issue.alias("issue"))
+
+
+def plan_violations(plan: DataFrame, predictions: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """Gaps of the grid, one row per cohort where the whole cohort is missing; seeds that
+    are not registered; and (seed, pair) rows that repeat."""
+
+    def told(frame: DataFrame, key: Column, rule: Column) -> DataFrame:
+        return frame.select(
+            key.alias("key"), rule.alias("rule_id"), F.lit("error").alias("severity"), F.lit("").alias("message")
+        )
+
+    gap = plan.where(F.col("issue").isNotNull())
+    whole = F.col("issue") == "missing_cohort"
+    key = F.when(whole, F.col("cohort")).otherwise(F.concat_ws("|", "cohort", F.col("seed").cast("string")))
+    other = predictions.where(~F.col("seed").isin(*seeds)).select("seed").distinct()
+    return union_all(
+        [
+            told(gap, key, F.col("issue")).distinct(),
+            told(other, F.col("seed").cast("string"), F.lit("unregistered_seed")),
+            duplicate_keys(predictions, ["seed", "pair_id"], "duplicate_prediction"),
+        ]
+    )
+
+
 def comparison_suite(
-    predictions: DataFrame, cohorts: DataFrame, replicates: int = REPLICATES, seed: int = BOOTSTRAP_SEED
+    predictions: DataFrame,
+    cohorts: DataFrame,
+    replicates: int = REPLICATES,
+    seed: int = BOOTSTRAP_SEED,
+    seeds: Sequence[int] = REGISTERED_SEEDS,
+    names: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(one row per cohort and seed, violations): both average precisions,
-    deltas and the paired bootstrap interval. All slices share each job."""
+    """(one row per cohort and registered seed, violations): both average precisions,
+    deltas and the paired bootstrap interval. All slices share each job.
+
+    The grid of ``seeds`` and mandatory cohorts is checked first: a slice with a gap or
+    with repeated pairs is a violation and gets no row, so no interval is computed for it.
+    """
     rows, found = suite_rows(predictions, cohorts)
+    rows = stage(rows, "suite-rows")
+    plan = stage(coverage_plan(predictions, cohorts, rows, seeds, names), "suite-plan")
     by = ["cohort", "seed"]
-    deltas = deltas_of(rows, by)
-    bounds = bootstrap_delta(rows, by, replicates, seed)
-    return deltas.join(bounds, by), found
+    complete = rows.join(plan.where(F.col("issue").isNull()).select(*by), by, "left_semi")
+    deltas = deltas_of(complete, by)
+    bounds = bootstrap_delta(complete, by, replicates, seed)
+    return deltas.join(bounds, by), union_all([found, plan_violations(plan, predictions, seeds)])
 
 
-def support(suite: DataFrame, by: Sequence[str] = ("cohort",)) -> DataFrame:
-    """Conservative support: mean delta, every seed's delta and every lower
-    bound must be above zero; a missing bound counts against."""
+def support(
+    suite: DataFrame,
+    by: Sequence[str] = ("cohort",),
+    seeds: Sequence[int] = REGISTERED_SEEDS,
+    names: Sequence[str] | None = None,
+) -> DataFrame:
+    """Conservative support: every registered seed has a row, and mean delta, every
+    seed's delta and every lower bound are above zero; a missing seed or bound counts
+    against. A mandatory cohort in ``names`` without any row is a row that is not
+    supported."""
     up = F.coalesce(F.col("absolute_delta") > 0, F.lit(False))
     firm = F.coalesce(F.col("lower_95") > 0, F.lit(False))
-    rows = suite.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_seeds"),
+    rows = suite.where(F.col("seed").isin(*seeds)).groupBy(*by).agg(
+        F.count_distinct("seed").alias("n_seeds"),
         F.avg("absolute_delta").alias("mean_delta"),
         F.bool_and(up).alias("all_deltas_positive"),
         F.bool_and(firm).alias("all_bounds_positive"),
     )
+    if names is not None:
+        listed = suite.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias(by[0]))
+        rows = listed.join(rows, list(by), "left").fillna(0, ["n_seeds"]).fillna(False, ["all_deltas_positive", "all_bounds_positive"])
     mean_up = F.coalesce(F.col("mean_delta") > 0, F.lit(False))
+    missing = F.lit(len(set(seeds))) - F.col("n_seeds")
     return rows.select(
         "*",
         mean_up.alias("mean_positive"),
-        (mean_up & F.col("all_deltas_positive") & F.col("all_bounds_positive")).alias("claim_supported"),
+        missing.alias("missing_seeds"),
+        (mean_up & F.col("all_deltas_positive") & F.col("all_bounds_positive") & (missing == 0)).alias("claim_supported"),
     )
 
 

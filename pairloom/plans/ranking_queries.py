@@ -17,11 +17,14 @@ from pairloom.operators.decisions import (
     SUMMARY_METRICS,
     compare,
     comparison_suite,
+    coverage_plan,
     new_failures,
     noninferiority,
     paired_deltas,
+    plan_violations,
     positive_deltas,
     seed_summary,
+    suite_rows,
     support,
 )
 from pairloom.operators.ranking import (
@@ -439,8 +442,8 @@ def m16(spark: SparkSession, d: str) -> DataFrame:
     "m17_support_rule",
     "with " + SUITE_SQL + """
 select cohort, count(*) as n_seeds, round(avg(absolute_delta), 9) as mean_delta, bool_and(absolute_delta > 0) as all_deltas_positive,
-       bool_and(lower_95 > 0) as all_bounds_positive, avg(absolute_delta) > 0 as mean_positive,
-       avg(absolute_delta) > 0 and bool_and(absolute_delta > 0) and bool_and(lower_95 > 0) as claim_supported
+       bool_and(lower_95 > 0) as all_bounds_positive, avg(absolute_delta) > 0 as mean_positive, 3 - count(*) as missing_seeds,
+       count(*) = 3 and avg(absolute_delta) > 0 and bool_and(absolute_delta > 0) and bool_and(lower_95 > 0) as claim_supported
 from suite group by 1""",
 )
 def m17(spark: SparkSession, d: str) -> DataFrame:
@@ -448,6 +451,71 @@ def m17(spark: SparkSession, d: str) -> DataFrame:
     return rounded(support(suite))
 
 
+FEW_REPLICATES = 64
+GRID = [*COHORTS, "balanced_1to1"]
+# One seed has lost the screened pairs: they come under other names.
+GAPS_SQL = COHORT_ROWS_SQL.replace("cohort_rows as (", "kept_rows as (") + """,
+cohort_rows as (
+  select * from kept_rows where not (seed = 999 and (cohort = 'screen_only' or cohort = 'full_evidence_pool')))"""
+
+
+def gapped_predictions(spark: SparkSession, d: str) -> DataFrame:
+    lost = (F.col("seed") == 999) & (F.col("evidence_class") == "screen_negative")
+    return seeded_predictions(spark, d).withColumn(
+        "pair_id", F.when(lost, F.concat(F.lit("other:"), "pair_id")).otherwise(F.col("pair_id"))
+    )
+
+
+@query(
+    "m16_coverage_plan",
+    "with " + SEEDED_SQL + """,
+lost as (select count(*) as n from seeded where seed = 999 and evidence_class = 'screen_negative'),
+found as (
+  select 'missing_cohort' as rule_id, 'balanced_1to1' as key union all
+  select 'incomplete_slice', 'screen_only|999' from lost where n > 0 union all
+  select 'incomplete_slice', 'full_evidence_pool|999' from lost where n > 0 union all
+  select 'missing_seed', cohort || '|7' from (values ('full_evidence_pool'), ('curated_only'), ('screen_only')) as c(cohort) union all
+  select 'unregistered_seed', '123')
+select rule_id, key from found""",
+)
+def m16_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of the grid of seeds and cohorts, found before any interval is computed."""
+    preds, cohorts = gapped_predictions(spark, d), cohort_members(spark, d)
+    rows, _ = suite_rows(preds, cohorts)
+    seeds = [42, 999, 7]
+    plan = coverage_plan(preds, cohorts, rows, seeds, GRID)
+    return plan_violations(plan, preds, seeds).select("rule_id", "key")
+
+
+@query(
+    "m17_support_with_gaps",
+    "with " + GAPS_SQL + ","
+    + groups_sql("cohort_rows", "cohort, seed", "score_candidate", "1") + ","
+    + groups_sql("cohort_rows", "cohort, seed", "score_baseline", "2") + ","
+    + bootstrap_sql("cohort_rows", "cohort, seed", ["score_candidate", "score_baseline"], FEW_REPLICATES, BOOTSTRAP_SEED) + f""",
+c as (select cohort, seed, {AP} as ap from ranked1 group by 1, 2),
+b as (select cohort, seed, {AP} as ap from ranked2 group by 1, 2),
+bounds as (
+  select x.cohort, x.seed, quantile_cont(x.value - y.value, 0.025) as lower_95 from reps x
+  join reps y on x.cohort = y.cohort and x.seed = y.seed and x.rep = y.rep
+  where x.side = 'score_candidate' and y.side = 'score_baseline' group by 1, 2),
+suite as (select c.cohort, c.seed, c.ap - b.ap as delta, lower_95 from c join b using (cohort, seed) join bounds using (cohort, seed)),
+per as (
+  select cohort, count(*) as n_seeds, avg(delta) as mean_delta, bool_and(delta > 0) as up, bool_and(lower_95 > 0) as firm
+  from suite group by 1)
+select cohort, coalesce(n_seeds, 0) as n_seeds, round(mean_delta, 9) as mean_delta, coalesce(up, false) as all_deltas_positive,
+       coalesce(firm, false) as all_bounds_positive, coalesce(mean_delta > 0, false) as mean_positive,
+       3 - coalesce(n_seeds, 0) as missing_seeds,
+       coalesce(n_seeds = 3 and mean_delta > 0 and up and firm, false) as claim_supported
+from (values ('full_evidence_pool'), ('curated_only'), ('screen_only'), ('balanced_1to1')) as g(cohort) left join per using (cohort)""",
+)
+def m17_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of a grid with gaps: a missing seed or cohort is never supported."""
+    preds, cohorts = gapped_predictions(spark, d), cohort_members(spark, d)
+    suite, _ = comparison_suite(preds, cohorts, FEW_REPLICATES, names=GRID)
+    return rounded(support(suite, names=GRID))
+
+
 @query(
     "m17_positive_deltas",
     "with " + COHORT_ROWS_SQL + "," + groups_sql("cohort_rows", "cohort, seed", "score_candidate", "1") + ","

@@ -254,8 +254,7 @@ def test_bootstrap_matches_resampling(frame, replicates, batch):
 NAMED = ["average_precision", "pr_auc_trapezoid", "auroc", "bedroc_alpha_20", "recall_at_50", "brier_score", "ef_at_1_percent", "ece_10_equal_width"]
 
 
-@pytest.mark.parametrize("batch", [2000, 16])
-def test_bootstrap_of_named_metrics(frame, batch):
+def test_bootstrap_of_named_metrics(frame):
     """Every metric of every replicate against the metric of the copied rows."""
     rows = ledger_rows()
     df = frame(rows, "bootstrap_group string, label int, score_candidate double, score_baseline double")
@@ -265,13 +264,13 @@ def test_bootstrap_of_named_metrics(frame, batch):
         sample = [row for g in draws(5, r, groups) for row in rows if row[0] == g]
         for side, at in (("score_candidate", 2), ("score_baseline", 3)):
             want[side, r] = brute([(row[1], row[at]) for row in sample])
-    values = bootstrap.replicate_metrics(df, [], ["score_candidate", "score_baseline"], NAMED, 37, 5, batch=batch).collect()
+    values = bootstrap.replicate_metrics(df, [], ["score_candidate", "score_baseline"], NAMED, 37, 5).collect()
     assert len(values) == len(want)
     for row in values:
         for m in NAMED:
             x, y = row[m], want[row["score_name"], row["replicate"]][m]
             assert (x is None) == (y is None) and (x is None or math.isclose(x, y, abs_tol=1e-9)), (m, row["replicate"])
-    got = {r["metric"]: r for r in bootstrap.bootstrap_deltas(df, [], NAMED, 37, 5, batch=batch).collect()}
+    got = {r["metric"]: r for r in bootstrap.bootstrap_deltas(df, [], NAMED, 37, 5).collect()}
     for m in NAMED:
         deltas = [want["score_candidate", r][m] - want["score_baseline", r][m] for r in range(37) if want["score_candidate", r][m] is not None]
         assert got[m]["replicates_valid"] == len(deltas)
@@ -355,7 +354,24 @@ def test_suite_and_support(frame):
     weak = suite.withColumn("lower_95", F.when(F.col("seed") == 42, F.lit(None)).otherwise(F.col("lower_95")))
     assert not support(weak).first()["claim_supported"]
     _, found = comparison_suite(preds.where("not (seed = 42 and pair_id = 'p1')"), members, replicates=16, seed=9)
-    assert [r["rule_id"] for r in found.collect()] == ["missing_prediction"]
+    assert sorted(r["rule_id"] for r in found.collect()) == ["incomplete_slice", "missing_prediction"]
+
+
+def test_gaps_of_seeds_and_cohorts(frame):
+    rows = ledger_rows()[:30]
+    scored = [(s, f"p{i}", y, "k", g, 0.9 * y + 0.05, b) for s in (42, 123, 7) for i, (g, y, c, b) in enumerate(rows)]
+    cols = "seed int, pair_id string, label int, evidence_class string, bootstrap_group string, score_candidate double, score_baseline double"
+    preds = frame(scored + [scored[0]], cols)
+    members = preds.where("seed = 7").select(F.lit("full").alias("cohort"), "pair_id", "label", "evidence_class", "bootstrap_group")
+    suite, found = comparison_suite(preds, members, replicates=16, seed=9, names=["full", "other"])
+    assert {(r["rule_id"], r["key"]) for r in found.collect()} == {
+        ("missing_cohort", "other"), ("missing_seed", "full|999"), ("repeated_pairs", "full|42"), ("unregistered_seed", "7"),
+        ("duplicate_prediction", "42|p0"),
+    }
+    assert [(r["cohort"], r["seed"]) for r in suite.collect()] == [("full", 123)]
+    claims = {r["cohort"]: (r["n_seeds"], r["missing_seeds"], r["claim_supported"]) for r in support(suite, names=["full", "other"]).collect()}
+    assert claims == {"full": (1, 2, False), "other": (0, 3, False)}
+    assert support(suite, seeds=[123]).first()["claim_supported"]
 
 
 def test_noninferiority_gate(frame):
