@@ -6,12 +6,21 @@ instead of replaying earlier rounds.
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.rules import union_all
 from pairloom.runtime import drop_stage, stage
 
+# Python workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
@@ -69,14 +78,86 @@ def components(edges: DataFrame) -> DataFrame:
     return linked.unionByName(alone.join(linked.select("node"), "node", "left_anti"))
 
 
+#: Bytes of joined ids in one row, and hex digits of a name.
+PACKED_BYTES = 1 << 20
+NAME_DIGITS = 12
+
+
+def _packed(groups: DataFrame) -> DataFrame:
+    """(component, slice, part, n, first_id, ids): the sorted ids of every component joined by
+    semicolons, in rows of about ``PACKED_BYTES``. The sort is a range sort over all
+    tasks, so a large component is cut into many slices."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_no = TaskContext.get().partitionId()
+        component, ids, size, part = None, [], 0, 0
+        rows = []
+
+        def close() -> None:
+            if ids:
+                rows.append((component, slice_no, part, len(ids), ids[0], ";".join(ids)))
+
+        def ready() -> pa.RecordBatch:
+            columns = [pa.array(c) for c in zip(*rows)]
+            rows.clear()
+            return pa.record_batch(columns, ["component", "slice", "part", "n", "first_id", "ids"])
+
+        for batch in batches:
+            for name, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != component or size >= PACKED_BYTES:
+                    close()
+                    component, ids, size, part = name, [], 0, part + 1
+                ids.append(one)
+                size += len(one)
+            if rows:
+                yield ready()
+        close()
+        if rows:
+            yield ready()
+
+    order = ["component", "group_id"]
+    ranged = groups.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.mapInArrow(pack, "component string, slice long, part long, n long, first_id string, ids string")
+
+
+def component_digests(groups: DataFrame) -> DataFrame:
+    """(component, n, first_id, digest): number of ids, the smallest id, and the SHA-256
+    of all ids sorted and joined by semicolons.
+
+    The digest is sequential, so the rows of ``_packed`` stream through one task per
+    component in order, and the hash is all that is kept of them.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, n, first, digest = None, 0, None, None
+        done = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["component"] != component:
+                    if digest:
+                        done.append((component, n, first, digest.hexdigest()))
+                    component, n, first = row["component"], 0, row["first_id"]
+                    digest = hashlib.sha256(row["ids"].encode())
+                else:
+                    digest.update(b";" + row["ids"].encode())
+                n += row["n"]
+            if done:
+                yield pa.record_batch([pa.array(c) for c in zip(*done)], ["component", "n", "first_id", "digest"])
+                done = []
+        if digest:
+            last = zip((component, n, first, digest.hexdigest()))
+            yield pa.record_batch([pa.array(c) for c in last], ["component", "n", "first_id", "digest"])
+
+    packed = _packed(groups).repartition("component").sortWithinPartitions("component", "slice", "part")
+    return packed.mapInArrow(fold, "component string, n long, first_id string, digest string")
+
+
 def complex_groups(pair_groups: DataFrame, prefix: str = "PDB") -> DataFrame:
     """(pair_id, component_group) from (pair_id, group_id) rows.
 
     Pairs sharing a group id, directly or through other pairs, get one name:
-    ``PREFIX_<id>`` for a single id, otherwise ``PREFIX_COMPONENT_`` and 32 hex
-    digits of a digest over the number of ids and two exact sums of the ids' own
-    SHA-256 words. The sums do not depend on an order, so one aggregation names
-    a component of any size.
+    ``PREFIX_<id>`` for a single id, otherwise ``PREFIX_COMPONENT_`` and the first
+    twelve hex digits of the SHA-256 of the sorted ids joined by semicolons.
     """
     links = pair_groups.where(F.col("group_id").isNotNull() & (F.col("group_id") != ""))
     links = links.select("pair_id", "group_id").distinct()
@@ -87,18 +168,10 @@ def complex_groups(pair_groups: DataFrame, prefix: str = "PDB") -> DataFrame:
     groups = found.where(F.col("node").startswith("g:")).select(
         "component", F.expr("substring(node, 3)").alias("group_id")
     )
-    digest = F.sha2("group_id", 256)
-    word = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    named = groups.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first_id"), word(1).alias("w1"), word(16).alias("w2")
-    )
-    whole = F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "w1", "w2"), 256), 1, 32)
-    named = named.select(
-        "component",
-        F.when(F.col("n") == 1, F.concat(F.lit(f"{prefix}_"), "first_id"))
-        .otherwise(F.concat(F.lit(f"{prefix}_COMPONENT_"), whole))
-        .alias("component_group"),
+    name = F.when(F.col("n") == 1, F.concat(F.lit(f"{prefix}_"), "first_id")).otherwise(
+        F.concat(F.lit(f"{prefix}_COMPONENT_"), F.substring("digest", 1, NAME_DIGITS))
     )
+    named = component_digests(groups).select("component", name.alias("component_group"))
     return (
         found.where(F.col("node").startswith("p:"))
         .join(named, "component")

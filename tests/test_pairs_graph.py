@@ -6,7 +6,15 @@ import random
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from pairloom.operators.graph import attach_groups, closure, compile_policy, complex_groups, components
+from pairloom.operators.graph import (
+    _packed,
+    attach_groups,
+    closure,
+    compile_policy,
+    complex_groups,
+    component_digests,
+    components,
+)
 from pairloom.operators.pairs import (
     canonicalise,
     dedupe_evidence,
@@ -106,9 +114,25 @@ def test_components_match_union_find(frame):
 
 
 def component_digest(ids):
-    own = [hashlib.sha256(i.encode()).hexdigest() for i in ids]
-    sums = [sum(int(d[a : a + 15], 16) for d in own) for a in (0, 15)]
-    return hashlib.sha256(f"{len(ids)}:{sums[0]}:{sums[1]}".encode()).hexdigest()[:32]
+    return hashlib.sha256(";".join(sorted(ids)).encode()).hexdigest()[:12]
+
+
+def test_names_of_a_million_ids_stream_through_slices(spark):
+    """One component of a million ids in many sorted slices and parts, beside small ones."""
+    groups = spark.range(1_000_100).selectExpr(
+        "if(id < 1000000, 'big', concat('c', id)) as component", "concat('G;', id) as group_id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    packed = _packed(groups)
+    spread = packed.groupBy("component").agg(F.count_distinct("slice").alias("s"), F.count(F.lit(1)).alias("p"))
+    big = spread.where("component = 'big'").first()
+    got = {r["component"]: r for r in component_digests(groups).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert big["s"] > 1 and big["p"] >= 8
+    ids = sorted(f"G;{i}" for i in range(1_000_000))
+    assert got["big"]["digest"] == hashlib.sha256(";".join(ids).encode()).hexdigest()
+    assert (got["big"]["n"], got["big"]["first_id"], len(got)) == (1_000_000, "G;0", 101)
+    assert got["c1000005"]["digest"] == hashlib.sha256(b"G;1000005").hexdigest()
 
 
 def test_component_names(frame):
