@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.classify import eligible
 from pairloom.operators.cohort import build_cohorts, expected_pairs
+from pairloom.operators.coverage import apply_clusters, unchanged_except
 from pairloom.operators.graph import attach_groups, complex_groups
 from pairloom.operators.pairs import (
     canonicalise,
@@ -21,8 +22,8 @@ from pairloom.operators.rules import require_ok, union_all
 from pairloom.operators.split import make_split, select_split, split_input_violations
 from pairloom.operators.validate import validate_dataset
 from pairloom.runtime import stage
-from pairloom.sources.manifest import manifest, verify_manifest
-from pairloom.sources.sinks import write_once
+from pairloom.sources import release
+from pairloom.sources.manifest import verify_manifest
 
 EVIDENCE_COLUMNS = [
     "evidence_id", "pair_id", "source_database", "source_version", "source_record_id",
@@ -64,6 +65,25 @@ def build_benchmark(
     return {"pairs": pairs, "evidence": evidence, "entities": used, "quarantine": quarantine}
 
 
+def cluster_only_changes(
+    originals: DataFrame, entities: DataFrame, membership: DataFrame | None, prefix: str
+) -> DataFrame:
+    """Violations if clustering changed anything but ``cluster_id``, or set it to anything
+    but the membership."""
+
+    def told(changes: DataFrame, rule: str) -> DataFrame:
+        message = F.concat_ws(" ", "column", F.lit("was"), "before", F.lit("is"), "after")
+        return changes.select("key", F.lit(rule).alias("rule_id"), F.lit("error").alias("severity"), message.alias("message"))
+
+    found = [told(unchanged_except(originals, entities, ["entity_id"], ["cluster_id"]), "entity_changed")]
+    if membership is not None:
+        bare = originals.drop("cluster_id")
+        clustered, issues = apply_clusters(bare, membership, prefix)
+        keys = ["entity_id", "cluster_id"]
+        found += [issues, told(unchanged_except(clustered.select(*keys), entities.select(*keys), ["entity_id"], []), "cluster_changed")]
+    return union_all(found)
+
+
 # Sort keys of the published tables.
 OUTPUT_ORDER = {
     "splits": ["pair_id"],
@@ -82,20 +102,30 @@ def freeze(
     first_seed: int = 0,
     last_seed: int = 999,
     cohort_seed: int = 20260915,
+    originals: DataFrame | None = None,
+    membership: DataFrame | None = None,
+    cluster_prefix: str = "CLU",
     **entity_options,
 ) -> DataFrame:
     """Verify, split, validate and publish; returns the written manifest.
 
-    ``tables`` holds pairs, evidence and entities. Outputs are derived and
-    checked in the shared staging folder first; nothing appears under ``out``
-    unless every check passes, and the manifest is written last. An existing
-    output is an error.
+    ``tables`` holds pairs, evidence and entities. ``originals`` are the entities
+    before they were clustered and ``membership`` the clusters (representative,
+    member): the entities must be the originals with just these cluster ids.
+    Outputs are derived and checked in the shared staging folder first; the release
+    appears under ``out`` by one rename, after every check and every table. An
+    existing output is an error; ``sources.release.recover`` cleans up after a
+    job that died.
     """
+    if release.exists(spark, out):
+        raise FileExistsError(f"{out} already exists")
     if expected_manifest is not None:
         drift = verify_manifest(expected_manifest, tables).take(5)
         if drift:
             raise ValueError("input drift: " + "; ".join(f"{r['table']} {r['issue']}" for r in drift))
     pairs, evidence, entities = (tables[n] for n in ("pairs", "evidence", "entities"))
+    if originals is not None:
+        require_ok(cluster_only_changes(originals, entities, membership, cluster_prefix))
     labelled = stage(eligible(pairs), "eligible")
     require_ok(split_input_violations(labelled, entities))
     seed = select_split(labelled, entities, first_seed, last_seed)
@@ -106,11 +136,7 @@ def freeze(
     membership, found = build_cohorts(expected, cohort_seed)
     require_ok(found)
     results["cohorts"] = stage(membership, "cohorts")
-    listing = stage(manifest({**tables, **results}), "manifest")
-    for name, order in OUTPUT_ORDER.items():
-        write_once(results[name], f"{out}/{name}", order)
-    write_once(listing, f"{out}/manifest", ["table"])
-    return spark.read.schema(listing.schema).parquet(f"{out}/manifest")
+    return release.publish(spark, {n: (results[n], order) for n, order in OUTPUT_ORDER.items()}, out, tables)
 
 
 def build_summary(built: dict[str, DataFrame]) -> DataFrame:

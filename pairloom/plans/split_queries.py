@@ -41,8 +41,10 @@ from pairloom.plans.adapters import (
     sequence_entities,
     unit_sql,
 )
+from pairloom.operators.rules import union_all
 from pairloom.plans.catalog import query
-from pairloom.runtime import stage
+from pairloom.runtime import scratch_path, stage
+from pairloom.sources.release import publish, stored
 
 # ------------------------------------------------------------------- split
 
@@ -349,6 +351,30 @@ def by_rule(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "v7_published",
+    "with " + SPLIT_SQL + """
+select 'splits' as "table", partition as part, count(*) as n from splits group by 2
+union all select 'quarantined', reason, count(*) from decided where reason <> '' group by 2
+union all select 'manifest', 'splits', count(*) from splits
+union all select 'manifest', 'quarantined', count(*) from decided where reason <> ''""",
+)
+def v7_published(spark: SparkSession, d: str) -> DataFrame:
+    """A split published as one release, counted from what was published."""
+    made = make_split(eligible_pairs(spark, d), entities(spark, d), SPLIT_SEED)
+    out = scratch_path(spark, "release")
+    tables = {n: (stage(made[n], n), ["pair_id"]) for n in ("splits", "quarantined")}
+    publish(spark, tables, out)
+    listing, found = stored(spark, out)
+
+    def counted(name: str, part: str) -> DataFrame:
+        rows = found[name].groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        return rows.select(F.lit(name).alias("table"), "part", "n")
+
+    listed = listing.select(F.lit("manifest").alias("table"), F.col("table").alias("part"), F.col("rows").alias("n"))
+    return union_all([counted("splits", "partition"), counted("quarantined", "reason"), listed])
+
+
 ENDS_SQL = """
 ends as (
   select distinct s.partition, unnest([p.node_a, p.node_b]) as e

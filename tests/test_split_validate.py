@@ -28,9 +28,10 @@ from pairloom.operators.validate import (
     validate_support,
     validation_report,
 )
-from pairloom.plans.benchmark import build_benchmark, freeze
+from pairloom.plans.benchmark import build_benchmark, cluster_only_changes, freeze
 from pairloom.runtime import stage, work_dir
 from pairloom.sources.manifest import manifest
+from pairloom.sources.release import exists, recover
 
 NODES = 60
 
@@ -290,6 +291,17 @@ def test_build_and_freeze(spark, frame):
     assert rows_of(done) == rows_of(again)
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         freeze(spark, inputs, out, "P", **options)
+    assert recover(spark, out, inputs) == "published"
+    clusters = frame([(f"N{i:03d}", f"N{i:03d}") for i in range(NODES)], "representative string, member string")
+    own = inputs["entities"].withColumn("cluster_id", F.concat(F.lit("CLU_"), "entity_id"))
+    plain = own.drop("cluster_id")
+    used = clusters.join(plain, clusters["member"] == plain["entity_id"], "left_semi")
+    assert cluster_only_changes(plain, own, used, "CLU").count() == 0
+    moved = own.withColumn("cluster_id", F.when(F.col("entity_id") == "N003", "CLU_N004").otherwise(F.col("cluster_id")))
+    assert [r["rule_id"] for r in cluster_only_changes(plain, moved, used, "CLU").collect()] == ["cluster_changed"]
+    with pytest.raises(ValueError, match="entity_changed"):
+        freeze(spark, inputs, out + "-5", "P", originals=inputs["entities"].where("entity_id <> 'N003'"), **options)
+    assert not exists(spark, out + "-5")
     with pytest.raises(ValueError, match="pairs content_changed"):
         tampered = {**inputs, "pairs": inputs["pairs"].withColumn("label", 1 - F.col("label"))}
         freeze(spark, tampered, out + "-3", "P", expected_manifest=listed, **options)
