@@ -42,7 +42,15 @@ from pairloom.sources.manifest import manifest, verify_manifest
 from pairloom.sources.ontology import read_ontology
 from pairloom.sources.ranges import list_files
 from pairloom.sources.sinks import write_gzip_members, write_once
-from pairloom.sources.tables import read_headerless, read_snapshot, read_table, snapshot_rules
+from pairloom.sources.tables import (
+    read_headerless,
+    read_snapshot,
+    read_table,
+    read_variants,
+    snapshot_rules,
+    variant_number,
+    variant_texts,
+)
 
 
 # ------------------------------------------------------------ sources, sinks
@@ -149,6 +157,55 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query(
+    "s4_variant_documents",
+    """
+with shaped as (
+  select event_id, user_id, event_type, value, event_id % 7 as shape from events)
+select case when shape = 5 then null else event_id end as event_id,
+       case when shape = 5 then 'invalid_json' end as reason,
+       case when shape = 5 then null when shape in (0, 1) then concat(user_id) when shape = 2 then concat(user_id, ';', event_type)
+            else '' end as refs,
+       case when shape in (0, 1, 2) then user_id % 100 end as first_number,
+       case when shape = 5 then null when shape in (2, 6) then concat(user_id % 9) else '' end as taxa
+from shaped where shape <> 4
+union all select null, 'not_an_object', null, null, null from shaped where shape = 4""",
+)
+def s4_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON documents of seven shapes: scalars, lists, nulls, absent fields,
+    broken text and values that are no objects."""
+    user = F.col("user_id").cast("string")
+    number = (F.col("user_id") % 100).cast("string")
+    taxon = (F.col("user_id") % 9).cast("string")
+    shapes = [
+        F.format_string('{"id": %s, "refs": %s, "n": %s}', F.col("event_id"), user, number),
+        F.format_string('{"id": %s, "refs": ["%s", " ", "%s"], "n": "%s"}', F.col("event_id"), user, user, number),
+        F.format_string(
+            '{"id": %s, "refs": ["%s", "%s"], "n": [%s, 1], "source": [{"taxon": "%s"}, {"other": 1}, {"taxon": %s}]}',
+            F.col("event_id"), F.col("event_type"), user, number, taxon, taxon,
+        ),
+        F.format_string('{"id": %s, "refs": null, "n": []}', F.col("event_id")),
+        F.format_string('["%s"]', user),
+        F.format_string('{"id": %s, "refs": ', F.col("event_id")),
+        F.format_string('{"id": %s, "n": "none", "source": {"taxon": %s}}', F.col("event_id"), taxon),
+    ]
+    line = shapes[6]
+    for k, shape in enumerate(shapes[:6]):
+        line = F.when(F.col("event_id") % 7 == k, shape).otherwise(line)
+    path = scratch_path(spark, "json")
+    table(spark, d, "events").select(line.alias("value")).write.text(path)
+    docs = read_variants(spark, path, lines=True)
+    doc = F.col("document")
+    # Digits sort before letters, so a sorted list is number, then word.
+    return docs.select(
+        F.try_variant_get(doc, "$.id", "bigint").alias("event_id"),
+        "reason",
+        F.when(doc.isNotNull(), F.array_join(variant_texts(doc, "$.refs"), ";")).alias("refs"),
+        F.when(doc.isNotNull(), variant_number(doc, "$.n").cast("bigint")).alias("first_number"),
+        F.when(doc.isNotNull(), F.array_join(variant_texts(doc, "$.source", "$.taxon"), ";")).alias("taxa"),
+    )
+
+
 @query(
     "s5_read_ontology",
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,3 +164,41 @@ def scalar_or_list(col, item: str = "string"):
     return F.when(text.isNull() | (text == ""), F.array().cast(f"array<{item}>")).otherwise(
         F.array_distinct(F.when(text.startswith("["), listed).otherwise(single))
     )
+
+
+def read_variants(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, document, reason) of JSON objects, one a file or one a line, as VARIANT.
+
+    A document that does not parse or is no object stays as a row with a null document
+    and the reason; blank lines are left out.
+    """
+    texts = spark.read.text(path) if lines else spark.read.text(path, wholetext=True)
+    texts = texts.where(strip(F.col("value")) != "")
+    parsed = texts.select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("document"))
+    is_object = F.schema_of_variant("document").startswith("OBJECT")
+    reason = F.when(F.col("document").isNull(), "invalid_json").when(~is_object, "not_an_object")
+    return parsed.select("file", F.when(reason.isNull(), F.col("document")).alias("document"), reason.alias("reason"))
+
+
+def variant_items(document: Column, path: str, item: str = "$", kind: str = "string") -> Column:
+    """The values at ``item`` of a field that may be a list, one value, null or absent, as
+    an array of ``kind``; elements that are not of that kind are null."""
+    field = F.try_variant_get(document, path, "variant")
+    listed = F.try_variant_get(document, path, "array<variant>")
+    items = F.when(field.isNull() | F.is_variant_null(field), F.array().cast("array<variant>")).otherwise(
+        F.coalesce(listed, F.array(field))
+    )
+    return F.transform(items, lambda x: F.try_variant_get(x, item, kind))
+
+
+def variant_number(document: Column, path: str) -> Column:
+    """A finite number from a number or numeric text, or from the first of a list of them."""
+    first = F.get(variant_items(document, path), F.lit(0))
+    number = strip(first).try_cast("double")
+    return F.when((number < float("inf")) & (number > float("-inf")), number)
+
+
+def variant_texts(document: Column, path: str, item: str = "$") -> Column:
+    """Distinct texts without padding or blanks, sorted."""
+    texts = F.transform(variant_items(document, path, item), strip)
+    return F.array_sort(F.array_distinct(F.filter(texts, lambda x: F.coalesce(x, F.lit("")) != "")))

@@ -12,10 +12,13 @@ from pairloom.sources.ontology import read_ontology
 from pairloom.sources.sinks import write_once
 from pairloom.sources.tables import (
     read_documents,
+    read_variants,
     read_headerless,
     read_snapshot,
     read_table,
     scalar_or_list,
+    variant_number,
+    variant_texts,
     snapshot_rules,
 )
 
@@ -120,3 +123,24 @@ def test_write_once(spark, tmp_path):
 def test_staging_uses_the_session_folder(spark):
     staged = stage(spark.range(5), "unit")
     assert staged.count() == 5 and work_dir(spark) in staged.inputFiles()[0]
+
+
+def test_variant_documents_of_any_shape(spark, tmp_path):
+    bodies = {
+        "a": '{"ids": [" x", "b", "x", "", null, 3], "len": ["12.5", 1], "org": [{"t": 9606}, {"u": 1}, {"t": "10090"}]}',
+        "b": '{"ids": "one", "len": 7, "org": {"t": 1}}',
+        "c": '{"len": "NaN", "ids": null}',
+        "d": '{"len": true, "ids": []}\n',
+        "e": "[1, 2]", "f": "{broken", "g": "  \n", "h": "3",
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    docs = read_variants(spark, str(tmp_path))
+    doc = F.col("document")
+    got = docs.select(
+        F.substring(F.col("file"), -1, 1), "reason", variant_texts(doc, "$.ids"), variant_number(doc, "$.len"), variant_texts(doc, "$.org", "$.t")
+    ).collect()
+    assert sorted(tuple(r) for r in got if r[1] is None) == [
+        ("a", None, ["3", "b", "x"], 12.5, ["10090", "9606"]), ("b", None, ["one"], 7.0, ["1"]), ("c", None, [], None, []), ("d", None, [], None, [])
+    ]
+    assert sorted(tuple(r[:2]) for r in got if r[1]) == [("e", "not_an_object"), ("f", "invalid_json"), ("h", "not_an_object")]
