@@ -4,14 +4,18 @@ A cluster's pool under a seed is a pure function of (seed, cluster), so no
 assignment table is joined for a single seed. For the search, the pools of one
 cluster under all seeds are packed three bits per seed; a set of clusters lies
 in one pool under a seed exactly when the OR of their bits has one bit set.
-Pairs shrink to distinct (group, cluster pair) counts before seeds multiply
-anything, and the multiplied rows are summed map-side.
+Pairs shrink to distinct (group, cluster pair) counts, and their sums per seed
+come from matrix products of whole batches, so seeds never multiply rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ from pairloom.functions.keys import unit_hash
 from pairloom.operators.rules import Rule, duplicate_keys, missing_keys, union_all, violations
 from pairloom.runtime import stage
 
+# Python workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Partitions and the target shares of the split objective.
 PARTITIONS = ("train", "validation", "test")
 NODE_TARGETS = {"train": 0.60, "validation": 0.20, "test": 0.20}
@@ -107,14 +114,50 @@ def _packed(cluster: Column, first: int, last: int, targets: Mapping[str, float]
     return F.transform(starts, word)
 
 
-def _per_seed(df: DataFrame, first: int, last: int, keep: Sequence[str]) -> DataFrame:
-    """(seed, bits, keep...) from a packed ``words`` column."""
-    words = df.select(*keep, F.posexplode("words").alias("_w", "word"))
-    rows = words.select(*keep, "_w", "word", F.explode(F.sequence(F.lit(0), F.lit(SEEDS_PER_WORD - 1))).alias("_k"))
-    seed = F.lit(first) + F.col("_w") * SEEDS_PER_WORD + F.col("_k")
-    return rows.select(*keep, seed.alias("seed"), F.expr("shiftright(word, 3 * _k) & 7").alias("bits")).where(
-        F.col("seed") <= last
-    )
+#: Rows whose pools under all seeds are unpacked at once.
+UNPACKED_ROWS = 2048
+
+
+def seed_sums(df: DataFrame, first: int, last: int, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(seed, by..., bits, values...): sums of bigint ``values`` per seed and pools of a
+    packed ``words`` column; ``by`` are boolean.
+
+    A batch is a matrix of rows by seeds, and a sum over rows is a product with it. So a
+    task hands out one row per seed and pools, and nothing per row and seed.
+    """
+    by, values = list(by), list(values)
+    n_seeds = last - first + 1
+    kinds = 1 << len(by)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((kinds, 8, len(values), n_seeds), np.int64)
+        shifts = 3 * np.arange(SEEDS_PER_WORD)
+        for whole in batches:
+            for at in range(0, whole.num_rows, UNPACKED_ROWS):
+                batch = whole.slice(at, UNPACKED_ROWS)
+                n = batch.num_rows
+                words = batch.column("words").flatten().to_numpy(zero_copy_only=False).reshape(n, -1, 1)
+                bits = (words >> shifts & 7).astype(np.int8).reshape(n, -1)[:, :n_seeds]
+                weights = np.stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values])
+                kind = np.zeros(n, np.int64)
+                for place, name in enumerate(by):
+                    kind += batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) << place
+                for k in np.unique(kind):
+                    rows = kind == k
+                    # Sums of a chunk below 2**53 are exact as doubles.
+                    exact = np.abs(weights[:, rows]).sum() < 2**53
+                    w = weights[:, rows].astype(np.float64 if exact else np.int64)
+                    for pools in range(1, 8):
+                        total[k, pools] += (w @ (bits[rows] == pools)).astype(np.int64)
+        k, pools, seed = np.nonzero(np.abs(total).sum(axis=2))
+        columns = [pa.array(first + seed), *[pa.array((k >> i & 1) == 1) for i in range(len(by))], pa.array(pools)]
+        columns += [pa.array(total[k, pools, v, seed]) for v in range(len(values))]
+        yield pa.record_batch(columns, names)
+
+    names = ["seed", *by, "bits", *values]
+    schema = ", ".join(["seed long", *[f"{c} boolean" for c in by], "bits long", *[f"{v} long" for v in values]])
+    sums = df.select(*by, *values, "words").mapInArrow(add, schema)
+    return sums.groupBy(F.col("seed").cast("int").alias("seed"), *by, "bits").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def split_candidates(
@@ -168,13 +211,9 @@ def split_candidates(
     single = merged.where(F.col("complex_group_id") == "").select(
         F.lit(False).alias("grouped"), "n", "pos", "words"
     )
-    units = _per_seed(grouped.unionByName(single), first, last, ["grouped", "n", "pos"])
-    pair_sums = units.groupBy("seed", "grouped", "bits").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    node_sums = (
-        _per_seed(clusters, first, last, ["entities"])
-        .groupBy("seed", "bits")
-        .agg(F.sum("entities").alias("entities"), F.count(F.lit(1)).alias("clusters"))
-    )
+    pair_sums = seed_sums(grouped.unionByName(single), first, last, ["n", "pos"], ["grouped"])
+    one_each = clusters.withColumn("clusters", F.lit(1).cast("bigint"))
+    node_sums = seed_sums(one_each, first, last, ["entities", "clusters"])
 
     def total(col: str, when: Column) -> Column:
         return F.coalesce(F.sum(F.when(when, F.col(col))), F.lit(0))

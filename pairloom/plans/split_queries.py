@@ -173,8 +173,8 @@ def p5_quarantined(spark: SparkSession, d: str) -> DataFrame:
     "p5_searched_split",
     "with " + CANDIDATES_SQL + f""",
 chosen as (select seed from scored where feasible order by score, seed limit 1)
-select entity_id, cluster_id, case bit when 1 then 'train' when 2 then 'validation' else 'test' end as partition
-from nodes join seed_pools using (cluster_id) where seed = (select seed from chosen)""",
+select entity_id, cluster_id, case when u < 0.6 then 'train' when u < 0.8 then 'validation' else 'test' end as partition
+from (select entity_id, cluster_id, {unit_sql("concat(cast(chosen.seed as varchar), ':', cluster_id)")} as u from nodes, chosen)""",
 )
 def p5_searched(spark: SparkSession, d: str) -> DataFrame:
     pairs, nodes = eligible_pairs(spark, d), entities(spark, d)

@@ -15,6 +15,7 @@ from pairloom.operators.split import (
     located_pairs,
     make_split,
     retain_pairs,
+    seed_sums,
     select_split,
     split_candidates,
     split_input_violations,
@@ -308,3 +309,24 @@ def test_build_and_freeze(spark, frame):
     with pytest.raises(ValueError, match="validation failed"):
         bad = {**inputs, "evidence": inputs["evidence"].withColumn("negative_definition", F.lit(""))}
         freeze(spark, bad, out + "-4", "P", **options)
+
+
+def test_seed_sums_of_packed_pools(spark):
+    """Sums per seed and pools against plain loops, over words that are only part full."""
+    rng = random.Random(3)
+    first, last = 5, 5 + 50
+    rows = []
+    for _ in range(300):
+        bits = [rng.randrange(1, 8) for _ in range(last - first + 1)]
+        words = [sum(b << (3 * i) for i, b in enumerate(bits[w : w + 21])) for w in range(0, len(bits), 21)]
+        rows.append((rng.random() < 0.5, rng.choice([1, 7, 10**15, 2**52]), rng.randrange(3), words, bits))
+    df = spark.createDataFrame([r[:4] for r in rows], "g boolean, n long, pos long, words array<long>").repartition(3)
+    want = {}
+    for g, n, pos, _, bits in rows:
+        for i, b in enumerate(bits):
+            a, c = want.get((first + i, g, b), (0, 0))
+            want[first + i, g, b] = (a + n, c + pos)
+    got = {(r["seed"], r["g"], r["bits"]): (r["n"], r["pos"]) for r in seed_sums(df, first, last, ["n", "pos"], ["g"]).collect()}
+    assert got == want
+    plan = seed_sums(df, first, last, ["n"])._jdf.queryExecution().toString()
+    assert "Generate" not in plan and seed_sums(df.limit(0), first, last, ["n"]).count() == 0
