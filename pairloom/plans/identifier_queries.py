@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.classify import (
@@ -65,6 +65,8 @@ from pairloom.plans.adapters import (
 )
 from pairloom.plans.catalog import query
 from pairloom.runtime import scratch_path
+from pairloom.streaming.classify import read_stream, route_stream
+from pairloom.streaming.dedupe import collisions
 
 # --------------------------------------------------------- classification
 
@@ -104,8 +106,8 @@ SETTINGS = EvidenceSettings(
 )
 
 
-def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as an evidence archive with every column the cascade reads."""
+def evidence_rows(spark: SparkSession, d: str, *more: Column | str) -> DataFrame:
+    """Line items as an evidence archive with every column the cascade reads, and more."""
     taxon = F.when(F.col("l_tax") == 0.08, F.lit("taxid:10090(mouse)")).otherwise(F.lit("taxid:9606(human)"))
     kind = F.when(F.col("l_discount") == 0.1, F.lit("MI:0250(gene)")).otherwise(F.lit("MI:0326(protein)"))
     type_id = F.concat(F.lit("MI:000"), F.col("l_linenumber").cast("string"), F.lit("(type)"))
@@ -124,6 +126,7 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
         F.concat(ns_a, (F.col("l_suppkey") % 50).cast("string")).alias("primary_id_a"),
         F.concat(F.lit("uniprotkb:"), (F.col("l_partkey") % 50).cast("string")).alias("primary_id_b"),
         F.when(F.col("l_orderkey") % 100 < 5, F.lit(" -")).otherwise(F.concat(F.lit("R"), "l_orderkey")).alias("source_record_id"),
+        *more,
     )
 
 
@@ -146,6 +149,62 @@ def c2(spark: SparkSession, d: str) -> DataFrame:
     return routed.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+DECISIONS = ["candidate", "excluded", "review"]
+
+
+@query(
+    "c2_streamed_decisions",
+    """
+with contents as (
+  select l_orderkey, l_linenumber, l_tax = 0.08 as mouse, l_discount = 0.1 as gene, l_returnflag = 'R' and l_quantity < 5 as negative,
+         l_quantity > 45 as two_types, l_quantity < 3 as no_method, l_linestatus = 'O' and l_discount < 0.02 as expanded,
+         l_tax = 0.07 as other_space, l_suppkey % 50 as a, l_partkey % 50 as b
+  from lineitem),
+seen as (
+  select * from contents union
+  select * replace (true as negative) from contents where l_linenumber = 4 and l_orderkey % 10 = 0),
+decided as (
+  select case
+      when mouse then {'d': 'excluded', 'r': 'not_two_human_endpoints'}
+      when gene then {'d': 'excluded', 'r': 'not_two_protein_endpoints'}
+      when negative then {'d': 'excluded', 'r': 'negative_record_in_positive_archive'}
+      when two_types then {'d': 'review', 'r': 'missing_or_ambiguous_interaction_type'}
+      when l_linenumber = 1 then {'d': 'excluded', 'r': 'generic_or_nonphysical_interaction_type'}
+      when l_linenumber = 2 then {'d': 'review', 'r': 'direct_interaction_descendant_requires_review'}
+      when l_linenumber > 5 then {'d': 'excluded', 'r': 'not_direct_interaction_type'}
+      when no_method then {'d': 'review', 'r': 'missing_or_ambiguous_detection_method'}
+      when a % 10 in (1, 2) then {'d': 'review', 'r': 'detection_method_requires_review'}
+      when a % 10 in (3, 4) then {'d': 'review', 'r': 'unlisted_detection_method'}
+      when expanded then {'d': 'review', 'r': 'participant_expansion_requires_review'}
+      when other_space then {'d': 'review', 'r': 'non_uniprot_primary_identifier'}
+      when a = b then {'d': 'review', 'r': 'self_pair_outside_primary_scope'}
+      when l_orderkey % 100 < 5 then {'d': 'review', 'r': 'missing_source_record_identifier'}
+      else {'d': 'candidate', 'r': 'auto_direct_candidate'} end as v
+  from seen)
+select v.d as decision, v.r as reason, count(*) as n from decided group by 1, 2
+union all
+select 'collision', 'evidence_id_collision', count(*) from (
+  select l_orderkey, l_linenumber from seen group by 1, 2 having count(*) > 1) having count(*) > 0""",
+)
+def c2_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """An archive that arrives in batches, with records that come again in later ones:
+    unchanged (dropped) or under other content (kept, and reported)."""
+    columns = evidence_rows(spark, d).columns
+    keyed = evidence_rows(spark, d, "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_id"))
+    again = keyed.where("l_linenumber = 3")
+    changed = keyed.where("l_linenumber = 4 and l_orderkey % 10 = 0").withColumn("negative", F.lit(" TRUE"))
+    names = ["line_id", *columns]
+    feed, target = scratch_path(spark, "feed"), scratch_path(spark, "streamed")
+    for part in (keyed, again, changed):
+        part.select(*names).repartition(2).write.mode("append").parquet(feed)
+    stream = read_stream(spark, feed, spark.read.parquet(feed).schema, max_files=2)
+    run = route_stream(stream, SETTINGS, target, scratch_path(spark, "offsets"), DECISIONS, key=["line_id"], content=columns)
+    run.awaitTermination()
+    seen = spark.read.parquet(target)
+    found = collisions(seen, ["line_id"]).select(F.lit("collision").alias("decision"), F.lit("evidence_id_collision").alias("reason"))
+    return decision_counts(seen.select("decision", "reason").unionByName(found))
+
+
 ASSESS_SQL = """
 assessed as (
   select o_orderkey, list_sort(
