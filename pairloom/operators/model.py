@@ -115,6 +115,39 @@ def fit_logistic(df: DataFrame, c: float, weighted: bool = True) -> LogisticFit:
     return fit_prepared(prepare(df, weighted), c)
 
 
+#: Largest component of the gradient of a fit that counts as an optimum.
+STATIONARY = 1e-5
+
+
+def certificate(training: Training, fit: LogisticFit, c: float) -> DataFrame:
+    """(c, parameters, largest_gradient, stationary): the gradient of the penalised mean
+    loss at the fitted parameters, summed anew over the training rows.
+
+    The loss is convex, so parameters with a gradient near zero are near the only
+    optimum, whatever the solver reports.
+    """
+    intercept = F.lit(-1).alias("place")
+    probability = vector_to_array("probability")[1]
+    rows = fit.model.transform(training.rows).select(
+        (F.col("weight") * (probability - F.col("label"))).alias("pull"), "weight", vector_to_array("_x").alias("x")
+    )
+    parts = rows.select("pull", "weight", F.posexplode("x").alias("place", "x"))
+    ends = rows.select("pull", "weight", intercept, F.lit(1.0).alias("x"))
+    slopes = parts.select("place", "pull", "weight", "x").unionByName(ends.select("place", "pull", "weight", "x"))
+    sums = slopes.groupBy("place").agg((F.sum(F.col("pull") * F.col("x")) / F.sum("weight")).alias("slope"))
+    values = F.array(*[F.lit(float(b)) for b in fit.model.coefficients])
+    penalty = F.when(F.col("place") < 0, F.lit(0.0)).otherwise(F.get(values, F.col("place")) / (c * training.n))
+    return sums.agg(
+        F.lit(float(c)).alias("c"), F.count(F.lit(1)).alias("parameters"), F.max(F.abs(F.col("slope") + penalty)).alias("largest_gradient")
+    ).withColumn("stationary", F.col("largest_gradient") < STATIONARY)
+
+
+def grid_certificates(train: DataFrame, grid: Sequence[float] = C_GRID) -> DataFrame:
+    """A certificate for the fit of every grid value."""
+    training = prepare(train)
+    return union_all([certificate(training, fit_prepared(training, c), c) for c in grid])
+
+
 def grid_scores(train: DataFrame, selection: DataFrame, grid: Sequence[float] = C_GRID) -> DataFrame:
     """(c, average_precision) on the selection rows for every grid value."""
     training = prepare(train)

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.arrays import symmetric_features
 from pairloom.operators.features import build_examples, pool_windows, validate_vectors
-from pairloom.operators.model import balanced_weights, early_stop, grid_scores, select_and_refit
+from pairloom.operators.model import (
+    C_GRID,
+    balanced_weights,
+    certificate,
+    early_stop,
+    grid_certificates,
+    grid_scores,
+    prepare,
+    select_and_refit,
+)
 from pairloom.operators.ordered import running_totals
 from pairloom.operators.ranking import metrics
 from pairloom.plans.adapters import (
@@ -136,6 +145,29 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("c", F.round("average_precision", 6).alias("average_precision"))
 
 
+PARAMETERS_SQL = "(select cast(3 * max(len(embedding)) + 4 as bigint) from embeddings)"
+
+
+@query(
+    "f4_certificates",
+    f"select c, {PARAMETERS_SQL} as parameters, true as stationary from (values {', '.join(f'({c}::double)' for c in C_GRID)}) as g(c)",
+)
+def f4_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every fit of the grid is an optimum: the gradient over all training rows."""
+    rows = examples(spark, d)
+    return grid_certificates(rows.where(F.col("partition") == "train")).select("c", "parameters", "stationary")
+
+
+@query("f5_certificate", f"select {PARAMETERS_SQL} as parameters, true as stationary, true as in_grid")
+def f5_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the fit that was selected and made again on train and validation."""
+    rows = examples(spark, d)
+    _, c, fit = select_and_refit(rows)
+    training = prepare(rows.where(F.col("partition").isin("train", "validation")))
+    found = certificate(training, fit, c)
+    return found.select("parameters", "stationary", F.col("c").isin(*C_GRID).alias("in_grid"))
+
+
 @query("f5_select_and_refit")
 def f5(spark: SparkSession, d: str) -> DataFrame:
     scored, c, _ = select_and_refit(examples(spark, d))

@@ -25,7 +25,17 @@ from pairloom.operators.ledger import (
     set_coverage,
     validate_ledger,
 )
-from pairloom.operators.model import balanced_weights, early_stop, fit_logistic, grid_scores, select_and_refit
+from pairloom.operators.model import (
+    LogisticFit,
+    balanced_weights,
+    certificate,
+    early_stop,
+    fit_logistic,
+    fit_prepared,
+    grid_scores,
+    prepare,
+    select_and_refit,
+)
 
 ITEMS = (
     "method string, seed int, stage string, pair_id string, status string, gpu_count int, gpu_model string, "
@@ -176,6 +186,22 @@ def newton(x, y, c):
     return w, 1 / (1 + np.exp(-z @ w))
 
 
+def test_certificate_tells_an_optimum(frame):
+    """The gradient against numpy; a fit for another penalty is not stationary."""
+    training = prepare(examples(frame))
+    fit = fit_prepared(training, 1.0)
+    own = certificate(training, fit, 1.0).first()
+    assert own["stationary"] and own["parameters"] == len(fit.model.coefficients) + 1
+    other = certificate(training, fit, 50.0).first()
+    rows = training.rows.collect()
+    x, y, w = (np.array([r[k] for r in rows]) for k in ("_x", "label", "weight"))
+    b, b0 = np.array(fit.model.coefficients), fit.model.intercept
+    pull = w * (1 / (1 + np.exp(-(x @ b + b0))) - y) / w.sum()
+    gradient = np.append(x.T @ pull + b / (50.0 * training.n), pull.sum())
+    assert not other["stationary"] and np.isclose(other["largest_gradient"], np.abs(gradient).max())
+    assert isinstance(fit, LogisticFit)
+
+
 def test_logistic_matches_newton(frame):
     df = examples(frame)
     rows = df.collect()
