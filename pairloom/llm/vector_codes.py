@@ -323,7 +323,41 @@ def with_label_error(coded: DataFrame) -> DataFrame:
     return coded.join(totals, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
 
 
-@query("op11_vector_codes")
+def _round_sql(t: int) -> str:
+    """Nearest entries in codebook t, ties to the lower index, and codebook t + 1."""
+    return f"""
+near{t} as materialized (
+  select vec_id, p, min(d * {ENTRIES} + k) % {ENTRIES} as k, min(d * {ENTRIES} + k) // {ENTRIES} as d
+  from (select c.vec_id, p, e.k, cast(sum((c.x - e.y) * (c.x - e.y)) as bigint) as d
+        from cells c join book{t} e using (p, j) group by all) group by all),
+book{t + 1} as materialized (
+  select e.p, e.k, e.j, coalesce(m.y, e.y) as y
+  from book{t} e left join (
+    select p, k, j, cast(floor(sum(x)::double / count(*)) as bigint) as y
+    from cells join near{t} using (vec_id, p) group by all) m using (p, k, j))"""
+
+
+_SQL = f"""
+with kept as (
+  select vec_id, label, len(embedding) // {PARTS} as w,
+         list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cells as materialized (
+  select vec_id, i // w as p, i % w as j, v[i + 1] as x from (select *, unnest(range(len(v))) as i from kept)),
+book0 as (
+  select p, k, j, x as y
+  from cells join (select vec_id, row_number() over (order by vec_id) - 1 as k from kept order by vec_id limit {ENTRIES}) using (vec_id)),
+{",".join(_round_sql(t) for t in range(ROUNDS + 1))},
+coded as (
+  select vec_id, label, string_agg(format('{{:02x}}', n.k), '' order by p) as code, cast(sum(d) as bigint) as error
+  from near{ROUNDS} n join kept using (vec_id) group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(y as varchar), ',' order by p, k, j)) from book{ROUNDS}) as codebooks_sha256
+from coded"""
+
+
+@query("op11_vector_codes", _SQL)
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and errors of all usable embeddings, and a digest of the codebooks."""
     coded = compress(table(spark, sf_dir, "embeddings"))
