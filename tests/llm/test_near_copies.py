@@ -102,24 +102,39 @@ def test_edit_distance():
         assert line_dedup.edit_distance_within(a, b, most) == (d <= most), (a, b, d, most)
 
 
-def brute_lines(rows):
-    """Which lines stay, by comparing all long distinct lines."""
-    import pyarrow as pa
+def test_edit_distance_of_long_strings():
+    """Starts that are too far apart end the search; they never end it too early."""
+    rng = random.Random(2)
+    found = Counter()
+    for k in range(400):
+        a = "".join(rng.choices("abcde ", k=rng.randint(60, 160)))
+        b = list(a)
+        for _ in range(rng.randint(0, 24) if k % 4 else 150):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+            b = b or ["x"]
+        b = "".join(b)
+        d, most = levenshtein(a, b), rng.randint(0, 20)
+        assert line_dedup.edit_distance_within(a, b, most) == (d <= most), (a, b, d, most)
+        assert line_dedup.edit_distance_within(b, a, d)
+        assert d == 0 or not line_dedup.edit_distance_within(a, b, d - 1)
+        found[d <= most] += 1
+    assert min(found.values()) > 50
 
+
+def brute_lines(spark, rows):
+    """Which lines stay, by comparing all distinct lines of five words or more; shorter
+    ones are equal or not."""
+    df = spark.createDataFrame([r[:2] for r in rows if r[0] is not None], "doc_id bigint, text string")
+    of = {(r.doc_id, r.text): r.of for r in df.withColumn("of", line_dedup.row_key()).collect()}
     at, texts = {}, {}
     for i, t, _ in rows:
         for k, line in enumerate((t or "").split("\n")):
-            key = tuple(line_dedup.normalised(line).split(" "))
-            if len(key) >= line_dedup.MIN_WORDS:
-                at.setdefault(key, set()).add((i, k))
+            key = tuple(line_dedup.normalised(line).split())
+            if key and i is not None:
+                at.setdefault(key, set()).add((i, of[i, t], k))
                 texts[key] = line
     keys = sorted(at)
-    hashes = {}
-    for key in keys:
-        data, starts = words.buffers(pa.array([texts[key]]))
-        h, _, _, _ = words.words(data, starts, words.Powers(), line_dedup._STRIP)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        hashes[key] = bits.sum(axis=0) * 2 > len(h)
     parent = {k: k for k in keys}
 
     def root(x):
@@ -129,12 +144,13 @@ def brute_lines(rows):
 
     for i, x in enumerate(keys):
         for y in keys[:i]:
-            if (hashes[x] != hashes[y]).sum() <= line_dedup.RADIUS and line_dedup.similar(texts[x], texts[y]):
+            if min(len(x), len(y)) >= line_dedup.MIN_WORDS and line_dedup.similar(texts[x], texts[y]):
                 parent[root(x)] = root(y)
     groups = {}
     for k in keys:
         groups.setdefault(root(k), set()).update(at[k])
-    return {p for g in groups.values() for p in g if p != min(g)}
+    gone = {p for g in groups.values() for p in g if p != min(g)}
+    return {(i, t, k) for (i, t), o in of.items() for k in range(len((t or "").split("\n"))) if (i, o, k) in gone}
 
 
 @pytest.mark.parametrize("short", [2, 32])
@@ -151,14 +167,32 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, short):
     df = with_extras(spark.createDataFrame(rows, SCHEMA))
     got = line_dedup.dedup_lines(df)
     assert set(df.columns) <= set(got.columns)
-    gone = brute_lines(rows)
+    gone = brute_lines(spark, rows)
     want = Counter()
     for i, t, _ in rows:
-        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
-        want[i, kept, sum((i, k) in gone for k in range(len((t or "").split("\n"))))] += 1
+        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)
+        want[i, kept, sum((i, t, k) in gone for k in range(len((t or "").split("\n"))))] += 1
     assert Counter((r.doc_id, r.text, r.n_removed) for r in got.collect()) == want
 
 
+def test_line_dedup_short_lines_and_rows_of_one_id(spark):
+    """Short lines go when equal, with near ones beside them; rows of one id keep their own lines."""
+    fox = "the quick brown fox jumps over it"
+    rows = [
+        (1, f"home\n{fox}\n--\nshare this"), (2, f"nothing like that one here at all\n{fox}"),
+        (2, "another body with own first line\nthis second line stands once only here"),
+        (3, "Share, this!\nhome\nshare thus\n--"), (3, "Share, this!\nhome\nshare thus\n--"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(df).collect())
+    assert got == Counter(
+        [
+            (1, rows[0][1], 0), (2, "nothing like that one here at all", 1), (2, rows[2][1], 0),
+            (3, "share thus\n--", 2), (3, "share thus\n--", 2),
+        ]
+    )
+
+
 def test_line_dedup_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "a line of five words"), (1, None), (2, "")], "doc_id bigint, text string")
     assert {tuple(r) for r in line_dedup.dedup_lines(df).select("doc_id", "text", "n_removed").collect()} == {
