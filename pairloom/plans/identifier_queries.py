@@ -372,17 +372,19 @@ endpoints as (
   left join known a on i.evidence_role = a.evidence_role and i.namespace = a.namespace and i.raw_a = a.raw_identifier
   left join known b on i.evidence_role = b.evidence_role and i.namespace = b.namespace and i.raw_b = b.raw_identifier)"""
 
-# Identifiers seen only twice are left out of the table, to give unknown ones.
+# Identifiers seen at most twice have another name in the table, to give unknown ones.
 ENDPOINTS_SQL = ENDPOINTS_SQL.replace(
     "endpoints as (",
-    "known as (select r.* from resolution r join inventory i using (evidence_role, namespace, raw_identifier)"
-    " where i.occurrence_count > 2),\nendpoints as (",
+    "known as (select r.* replace (case when i.occurrence_count > 2 then r.raw_identifier"
+    " else concat('?', r.raw_identifier) end as raw_identifier)"
+    " from resolution r join inventory i using (evidence_role, namespace, raw_identifier)),\nendpoints as (",
 )
 
 
 def resolved_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    resolution = resolved_ids(spark, d).where(F.col("occurrence_count") > 2)
-    return resolve_endpoints(identifier_rows(spark, d), resolution)
+    raw = F.col("raw_identifier")
+    named = F.when(F.col("occurrence_count") > 2, raw).otherwise(F.concat(F.lit("?"), raw))
+    return resolve_endpoints(identifier_rows(spark, d), resolved_ids(spark, d).withColumn("raw_identifier", named))
 
 
 @query(
@@ -557,20 +559,24 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
 
 BASELINE_SQL = PREDS_SQL + """,
 base as (
-  select pair_id, case when bootstrap_group = 'src1' then 1 - label else label end as label, baseline_score as score,
-         bootstrap_group from preds where score < 0.9)"""
+  select case when score < 0.9 then pair_id else concat('-', pair_id) end as pair_id,
+         case when bootstrap_group = 'src1' then 1 - label else label end as label, baseline_score as score,
+         bootstrap_group from preds)"""
 
 
 @query(
     "j12_align_predictions",
     "with " + BASELINE_SQL + """
-select p.pair_id as key, case when b.pair_id is null then 'missing_baseline' when p.label <> b.label then 'label_mismatch' else 'aligned' end as outcome
-from preds p left join base b on p.pair_id = b.pair_id""",
+select coalesce(p.pair_id, b.pair_id) as key,
+       case when p.pair_id is null then 'missing_candidate' when b.pair_id is null then 'missing_baseline'
+            when p.label <> b.label then 'label_mismatch' else 'aligned' end as outcome
+from preds p full join base b on p.pair_id = b.pair_id""",
 )
 def j12(spark: SparkSession, d: str) -> DataFrame:
     preds = predictions(spark, d)
-    base = preds.where(F.col("score") < 0.9).select(
-        "pair_id",
+    key = F.col("pair_id")
+    base = preds.select(
+        F.when(F.col("score") < 0.9, key).otherwise(F.concat(F.lit("-"), key)).alias("pair_id"),
         F.when(F.col("bootstrap_group") == "src1", 1 - F.col("label")).otherwise(F.col("label")).alias("label"),
         F.col("baseline_score").alias("score"),
         "bootstrap_group",
@@ -585,12 +591,19 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     "j13_select_cohort",
     "with " + PREDS_SQL + """
 select p.pair_id as key, 'selected' as outcome, p.score from preds p where p.label = 0
-union all select p.pair_id, 'evidence_class_mismatch', 0.0 from preds p where p.label = 0 and p.bootstrap_group = 'src2'""",
+union all select p.pair_id, 'evidence_class_mismatch', 0.0 from preds p where p.label = 0 and p.bootstrap_group = 'src2'
+union all select concat('-', p.pair_id), 'missing_prediction', 0.0 from preds p where p.label is distinct from 0""",
 )
 def j13(spark: SparkSession, d: str) -> DataFrame:
     preds = predictions(spark, d)
     off = F.when(F.col("bootstrap_group") == "src2", F.lit("other")).otherwise(F.col("evidence_class"))
-    members = preds.where(F.col("label") == 0).withColumn("evidence_class", off)
+    key = F.col("pair_id")
+    members = preds.withColumns(
+        {
+            "evidence_class": off,
+            "pair_id": F.when(F.col("label") == 0, key).otherwise(F.concat(F.lit("-"), key)),
+        }
+    )
     selected, found = select_cohort(preds, members)
     return selected.select(F.col("pair_id").alias("key"), F.lit("selected").alias("outcome"), "score").unionByName(
         found.select("key", F.col("rule_id").alias("outcome"), F.lit(0.0).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.arrays import symmetric_features
@@ -116,7 +116,8 @@ select partition, 'example' as outcome, count(*) as n from placed where pair_no
 union all select '100', 'endpoint_without_vector', 1 union all select '99', 'endpoint_without_vector', 1""",
 )
 def f2(spark: SparkSession, d: str) -> DataFrame:
-    vectors = vector_table(spark, d).where(F.col("entity_id") != "100")
+    renamed = F.when(F.col("entity_id") == "100", F.lit("-100")).otherwise(F.col("entity_id"))
+    vectors = vector_table(spark, d).withColumn("entity_id", renamed)
     examples, found = build_examples(vector_pairs(spark, d), vectors)
     counted = examples.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
     issues = found.groupBy(F.col("key").alias("partition"), F.col("rule_id").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
@@ -178,13 +179,12 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     "f6_validate_vectors",
     """
 with bad as (
-  select vec_id, label, len(embedding) - case when label = 3 then 1 else 0 end as size, label = 4 as broken from embeddings
-  where label <> 9)
+  select vec_id, label, len(embedding) - case when label = 3 then 1 else 0 end as size, label = 4 as broken from embeddings)
 select rule_id, count(*) as n from (
   select 'wrong_dimension' as rule_id from bad where size <> 64
   union all select 'not_finite' from bad where broken
-  union all select 'missing_vector' from embeddings where label = 9
-  union all select 'unexpected_vector' from bad where label = 7
+  union all select 'missing_vector' from embeddings where label in (7, 9)
+  union all select 'unexpected_vector' from bad where label in (7, 9)
   union all select 'sequence_digest_mismatch' from bad where label = 5)
 group by 1""",
 )
@@ -192,11 +192,16 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
     marked = vector_table(spark, d).join(
         table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("entity_id"), "label"), "entity_id"
     )
-    known = marked.where(F.col("label") != 7).select("entity_id", "sequence_sha256")
     label = F.col("label")
+
+    def renamed(wanted: int) -> Column:
+        key = F.col("entity_id")
+        return F.when(label == wanted, F.concat(F.lit(f"{wanted}:"), key)).otherwise(key).alias("entity_id")
+
+    known = marked.select(renamed(7), "sequence_sha256")
     infinite = F.transform("vector", lambda x, i: F.when(i == 1, F.lit(float("inf"))).otherwise(x.cast("double")))
-    bad = marked.where(label != 9).select(
-        "entity_id",
+    bad = marked.select(
+        renamed(9),
         F.when(label == 3, F.slice("vector", 1, 63).cast("array<double>"))
         .when(label == 4, infinite)
         .otherwise(F.col("vector").cast("array<double>"))

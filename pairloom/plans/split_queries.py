@@ -259,7 +259,9 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     status = F.when(F.col("n_evidence") > 3, F.lit("quarantine")).otherwise(F.col("pair_status"))
-    known = pairs.where(F.col("node_b") <= "N0990").withColumn("pair_status", status)
+    key = F.col("pair_id")
+    renamed = F.when(F.col("node_b") > "N0990", F.concat(F.lit("?"), key)).otherwise(key)
+    known = pairs.withColumns({"pair_status": status, "pair_id": renamed})
     _, found = expected_pairs(known, doubled)
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -277,7 +279,8 @@ bad_pairs as (
          complex_group_id
   from (select *, 1 as one from pairs union all select *, 2 from pairs where node_a = 'N0123')),
 bad_nodes as (
-  select entity_id, case when entity_id = 'N0777' then '' else cluster_id end as cluster_id from nodes where entity_id <> 'N0001'),
+  select case when n.entity_id = 'N0001' then 'N9999' else n.entity_id end as entity_id,
+         case when n.entity_id = 'N0777' then '' else cluster_id end as cluster_id from nodes n),
 bad_splits as (
   select 'c3_primary' as split_scheme, '0' as fold, pair_id,
          case when node_b = 'N0321' then 'test' when node_a = 'N0222' then 'extra' else pool_a end as partition,
@@ -289,11 +292,12 @@ ids as (
          source_record_id, interaction_type, detection_method, polarity, negative_definition
   from kept),
 bad_evidence as (
-  select evidence_id, pair_id, source_database, source_version,
+  select evidence_id, case when node = 'N0403' then concat(pair_id, '_LOST') else pair_id end as pair_id,
+         source_database, source_version,
          case when node < 'N0003' then 'SHARED' else source_record_id end as source_record_id,
          case when node = 'N0400' then '' when node = 'N0401' then 'MI:x' else interaction_type end as interaction_type, detection_method,
          case when node = 'N0402' then 'maybe' else polarity end as polarity, negative_definition
-  from (select *, split_part(pair_id, '_', 2) as node from ids) where node <> 'N0403')"""
+  from (select *, split_part(pair_id, '_', 2) as node from ids))"""
 
 
 def broken_tables(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
@@ -313,8 +317,9 @@ def broken_tables(spark: SparkSession, d: str, *names: str) -> dict[str, DataFra
         .alias("pair_status"),
         "complex_group_id",
     )
-    bad_nodes = nodes.where(F.col("entity_id") != "N0001").withColumn(
-        "cluster_id", F.when(F.col("entity_id") == "N0777", F.lit("")).otherwise(F.col("cluster_id"))
+    bad_nodes = nodes.select(
+        F.when(F.col("entity_id") == "N0001", F.lit("N9999")).otherwise(F.col("entity_id")).alias("entity_id"),
+        F.when(F.col("entity_id") == "N0777", F.lit("")).otherwise(F.col("cluster_id")).alias("cluster_id"),
     )
     decided = retain_pairs(located_pairs(eligible_pairs(spark, d), nodes), SPLIT_SEED)
     pool = F.col("pool_a")
@@ -331,9 +336,10 @@ def broken_tables(spark: SparkSession, d: str, *names: str) -> dict[str, DataFra
         F.when(((pool == "test") & (a > "N0800")) | (pool == "train"), F.lit("")).otherwise(F.lit("C3")).alias("pm_class"),
     )
     node = F.element_at(F.split("pair_id", "_"), 2)
-    bad_evidence = evidence(spark, d).where(node != "N0403").select(
+    lost = F.concat("pair_id", F.lit("_LOST"))
+    bad_evidence = evidence(spark, d).select(
         "evidence_id",
-        "pair_id",
+        F.when(node == "N0403", lost).otherwise(F.col("pair_id")).alias("pair_id"),
         "source_database",
         "source_version",
         F.when(node < "N0003", F.lit("SHARED")).otherwise(F.col("source_record_id")).alias("source_record_id"),
