@@ -33,6 +33,8 @@ from pairloom.runtime import stage
 #: Documents that the scorers are fitted on, at most; those of lowest seeded hash.
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 18
+#: The measurements of the quality rules that labellers read.
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_upper", "n_distinct")
 ROUNDS = 40
 SEED = 23
 
@@ -83,11 +85,10 @@ def with_signals(docs: DataFrame) -> DataFrame:
     # The first letter is tested first: most places end there.
     letters = "".join(sorted({x[0] for x in INSULTS}))
     insult = rf"(?i)(?=[{letters}])(?<![\p{{L}}\p{{N}}])(?:" + "|".join(INSULTS) + r")(?![\p{L}\p{N}])"
-    return measure(docs).withColumns(
+    return measure(docs, names=SIGNALS).withColumns(
         {
             "n_marks": F.length(body) - F.length(F.translate(body, "!", "")),
             "n_insults": F.regexp_count(body, F.lit(insult)),
-            "n_distinct": F.size(F.array_distinct(F.split(body, r"[\x20\x09-\x0D]+"))),
         }
     )
 
@@ -230,6 +231,7 @@ def fit_scorers(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[L
         docs.select("text", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("order"))
         .join(F.broadcast(chosen.select("order", "votes0", "votes1").distinct()), "order")  # at most sample_rows
         .select("text", "votes0", "votes1", "order")
+        .dropDuplicates(["order"])  # a document that stands many times is one row of the sample
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def fit_scorers(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[L
             )
 
     sample = picked.mapInArrow(run, "buckets array<int>, votes0 bigint, votes1 bigint, order bigint").toArrow()
-    sample = sample.sort_by("order").slice(0, sample_rows)
+    sample = sample.sort_by("order")
     rows = [np.array(r, np.int64) for r in sample.column("buckets").to_pylist()]
     out = []
     for k, model in enumerate(models):

@@ -69,8 +69,9 @@ POLICIES = (
 CURRENT = POLICIES[-1]
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements of ``text``."""
+def measure(df: DataFrame, text: str = "text", names: tuple[str, ...] = MEASURES) -> DataFrame:
+    """Add the named measurements of ``text``: any of ``MEASURES`` and ``n_distinct``, its
+    distinct words. What is not named is not computed."""
     columns = df.columns
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(WHITE))
@@ -107,7 +108,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, x: a + x),
         "n_lines": F.size("_lines"),
         "n_upper": F.regexp_count(dense, F.lit(r"\p{Lu}")),
+        "n_distinct": F.size(F.array_distinct(w)),
     }
+    measures = {name: measures[name] for name in names}
     # One generated row per row: a filter on a measurement then stays above it and
     # does not evaluate the arrays again.
     one = F.array(F.struct(*[c.cast("long").alias(name) for name, c in measures.items()]))

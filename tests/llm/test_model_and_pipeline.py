@@ -1,3 +1,4 @@
+import re
 import sys
 from pathlib import Path
 
@@ -5,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import SCHEMA, documents, shingles_of, with_extras
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -40,6 +42,24 @@ def test_hashed_features_are_per_text():
     assert all((a == b).all() for a, b in zip(together, alone)) and len(together) == len(texts)
 
 
+def test_sample_has_repeated_documents_once(spark):
+    """However often a document stands, its features reach the driver once."""
+    rows = [(i, t) for i, t, _ in documents()]
+    once = spark.createDataFrame(rows, "doc_id bigint, text string").distinct()
+    often = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("k").repartition(4)
+    for (_, a), (_, b) in zip(quality_model.fit_scorers(once), quality_model.fit_scorers(often)):
+        assert np.isfinite(a.weights).all() and ((a.weights != 0) == (b.weights != 0)).all()
+
+
+def test_signals_against_plain_words(spark):
+    rows = [(i, t) for i, t, _ in documents()]
+    got = quality_model.with_signals(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert not {"n_lines", "n_dup_lines"} & set(got.columns)
+    for r in got.select("text", "n_words", "n_distinct", "n_marks").collect():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", r.text or "") if x]
+        assert (r.n_words, r.n_distinct, r.n_marks) == (len(w), len(set(w)), (r.text or "").count("!"))
+
+
 @here
 def test_held_out_labels(spark):
     docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
