@@ -29,3 +29,9 @@ LINES = f"select * from '{SF}/lineitem.parquet'"
 
 def test_no_seed_is_feasible_without_negatives(spark, tmp_path):
     assert check(spark, tmp_path, "p5_searched_split", lineitem=f"select * replace ('A' as l_returnflag) from ({LINES})") == []
+
+
+def test_rows_without_pair_id_keep_their_own_findings(spark, tmp_path):
+    docs = "select k as doc_id, 20000 as n_chars, concat('src', k % 6) as source from range(40) t(k)"
+    rows = check(spark, tmp_path, "m14_validate_predictions", documents=docs, labels="select k as doc_id, 1 as quality, 0 as toxic from range(40) t(k)")
+    assert [40, "score_not_finite"] in rows
