@@ -35,3 +35,9 @@ def test_rows_without_pair_id_keep_their_own_findings(spark, tmp_path):
     docs = "select k as doc_id, 20000 as n_chars, concat('src', k % 6) as source from range(40) t(k)"
     rows = check(spark, tmp_path, "m14_validate_predictions", documents=docs, labels="select k as doc_id, 1 as quality, 0 as toxic from range(40) t(k)")
     assert [40, "score_not_finite"] in rows
+
+
+def test_pairs_unknown_and_not_eligible_count_for_both(spark, tmp_path):
+    often = f"select * replace ('A' as l_returnflag) from ({LINES}) where l_partkey % 997 between 100 and 110"
+    far = f"select * replace (993 as l_partkey, l_orderkey + 1000000 as l_orderkey) from ({often})"
+    check(spark, tmp_path, "p10_expected_pairs", lineitem=f"{LINES} union all select l.* from ({far}) l, range(5)")
