@@ -64,6 +64,9 @@ def resolve_endpoints(
     return out
 
 
+UNRESOLVED_ENDPOINT = "unresolved_endpoint"
+
+
 def split_unresolved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable, quarantined): both endpoints must have an accepted id."""
     usable = (F.col("resolved_a") != "") & (F.col("resolved_b") != "")
@@ -79,7 +82,7 @@ def split_unresolved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         "raw_b",
         "status_a",
         "status_b",
-        F.lit("unresolved_endpoint").alias("reason"),
+        F.lit(UNRESOLVED_ENDPOINT).alias("reason"),
     )
     return df.where(usable), rejected
 

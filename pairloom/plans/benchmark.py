@@ -10,6 +10,7 @@ from pairloom.operators.cohort import build_cohorts, expected_pairs
 from pairloom.operators.coverage import apply_clusters, unchanged_except
 from pairloom.operators.graph import attach_groups, complex_groups
 from pairloom.operators.pairs import (
+    AMBIGUOUS_RECORD,
     canonicalise,
     dedupe_evidence,
     label_pairs,
@@ -17,7 +18,7 @@ from pairloom.operators.pairs import (
     used_entities,
     with_evidence_id,
 )
-from pairloom.operators.resolve import resolve_endpoints, split_unresolved
+from pairloom.operators.resolve import UNRESOLVED_ENDPOINT, resolve_endpoints, split_unresolved
 from pairloom.operators.rules import require_ok, union_all
 from pairloom.operators.split import make_split, select_split, split_input_violations
 from pairloom.operators.validate import validate_dataset
@@ -140,7 +141,7 @@ def freeze(
 
 
 def build_summary(built: dict[str, DataFrame]) -> DataFrame:
-    """(item, n): table sizes, pair classes and quarantine reasons."""
+    """(item, n): table sizes, pair classes and quarantine reasons, also those of no row."""
 
     def counted(df: DataFrame, prefix: str, col: str) -> DataFrame:
         return df.groupBy(F.concat(F.lit(prefix), F.col(col)).alias("item")).agg(F.count(F.lit(1)).alias("n"))
@@ -148,11 +149,16 @@ def build_summary(built: dict[str, DataFrame]) -> DataFrame:
     def size(name: str) -> DataFrame:
         return built[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"rows_{name}").alias("item"), "n")
 
+    reasons = F.array(*[F.lit(f"quarantine_{r}") for r in (UNRESOLVED_ENDPOINT, AMBIGUOUS_RECORD)])
+    none = built["quarantine"].sparkSession.range(1).select(
+        F.explode(reasons).alias("item"), F.lit(0).cast("bigint").alias("n")
+    )
+    quarantined = counted(built["quarantine"], "quarantine_", "reason").unionByName(none)
     return union_all(
         [size(n) for n in ("pairs", "evidence", "entities", "quarantine")]
         + [
             counted(built["pairs"], "class_", "evidence_class"),
             counted(built["pairs"], "status_", "pair_status"),
-            counted(built["quarantine"], "quarantine_", "reason"),
+            quarantined.groupBy("item").agg(F.sum("n").alias("n")),
         ]
     )

@@ -41,3 +41,9 @@ def test_pairs_unknown_and_not_eligible_count_for_both(spark, tmp_path):
     often = f"select * replace ('A' as l_returnflag) from ({LINES}) where l_partkey % 997 between 100 and 110"
     far = f"select * replace (993 as l_partkey, l_orderkey + 1000000 as l_orderkey) from ({often})"
     check(spark, tmp_path, "p10_expected_pairs", lineitem=f"{LINES} union all select l.* from ({far}) l, range(5)")
+
+
+def test_reasons_that_no_row_has_are_counted_as_zero(spark, tmp_path):
+    parts = "select k as p_partkey, 1 as p_size from range(997) t(k)"
+    rows = check(spark, tmp_path, "v7_build_benchmark", lineitem=LINES, part=parts)
+    assert ["quarantine_unresolved_endpoint", 0] in rows
