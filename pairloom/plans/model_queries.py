@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ from pairloom.plans.adapters import (
     PAIR_PREFIX,
     PREDS_SQL,
     entities,
+    folded_node,
     observations,
+    own_node,
     predictions,
     table,
 )
@@ -272,10 +276,11 @@ def f8(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------- end to end
 
 
-def accepted_nodes(spark: SparkSession, d: str) -> DataFrame:
+def accepted_nodes(spark: SparkSession, d: str, node: Callable[[Column], Column] = folded_node) -> DataFrame:
     """Resolution of the raw nodes: parts up to size 40 give nodes that are used."""
+    name = node(F.col("p_partkey"))
     known = table(spark, d, "part").select(
-        F.concat(F.when(F.col("p_size") <= 40, F.lit("N")).otherwise(F.lit("Z")), F.lpad((F.col("p_partkey") % 997).cast("string"), 4, "0")).alias("raw_identifier")
+        F.when(F.col("p_size") <= 40, name).otherwise(F.concat(F.lit("Z"), name)).alias("raw_identifier")
     ).distinct()
     roles = F.explode(F.array(F.lit("positive_evidence"), F.lit("negative_evidence")))
     return known.select(
@@ -290,15 +295,15 @@ def accepted_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    obs = observations(spark, d).drop("pair_id", "node_a", "node_b")
+def built(spark: SparkSession, d: str, node: Callable[[Column], Column] = folded_node) -> dict[str, DataFrame]:
+    obs = observations(spark, d, node).drop("pair_id", "node_a", "node_b")
     role = F.when(F.col("polarity") == "positive", F.lit("positive_evidence")).otherwise(F.lit("negative_evidence"))
     rows = obs.withColumn("namespace", F.lit("node")).withColumn("evidence_role", role)
     defined = rows.withColumn(
         "negative_definition", F.when(F.col("polarity") == "negative", F.lit("explicit")).otherwise(F.lit(""))
     )
-    nodes = entities(spark, d)
-    return {n: stage(df, f"built-{n}") for n, df in build_benchmark(defined, accepted_nodes(spark, d), nodes, PAIR_PREFIX).items()}
+    nodes = entities(spark, d, node)
+    return {n: stage(df, f"built-{n}") for n, df in build_benchmark(defined, accepted_nodes(spark, d, node), nodes, PAIR_PREFIX).items()}
 
 
 BUILD_SQL = KEPT_SQL.replace(
@@ -338,6 +343,8 @@ def v7_build(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v7_freeze")
 def v7(spark: SparkSession, d: str) -> DataFrame:
-    tables = built(spark, d)
+    # Folded nodes would end as a graph of contradictions: in large tables every pair has
+    # evidence of both kinds, no labelled negative is left, and no split is feasible.
+    tables = built(spark, d, own_node)
     inputs = {n: tables[n] for n in ("pairs", "evidence", "entities")}
-    return freeze(spark, inputs, scratch_path(spark, "frozen"), PAIR_PREFIX, id_shape=r"^N\d{4}$", taxon=None, rules=[])
+    return freeze(spark, inputs, scratch_path(spark, "frozen"), PAIR_PREFIX, id_shape=r"^N\d+$", taxon=None, rules=[])

@@ -47,3 +47,15 @@ def test_reasons_that_no_row_has_are_counted_as_zero(spark, tmp_path):
     parts = "select k as p_partkey, 1 as p_size from range(997) t(k)"
     rows = check(spark, tmp_path, "v7_build_benchmark", lineitem=LINES, part=parts)
     assert ["quarantine_unresolved_endpoint", 0] in rows
+
+
+def test_release_of_pairs_that_contradict_when_folded(spark, tmp_path):
+    lines = f"""
+      select l.* replace (l_partkey + 997 * k as l_partkey, l_suppkey + 997 * k as l_suppkey, l_orderkey + 1000000 * k as l_orderkey,
+                        case when k = 1 and l_partkey % 3 = 0 then 'R' else 'A' end as l_returnflag, 3.0 as l_quantity)
+      from ({LINES}) l, range(2) r(k)"""
+    tables = {"lineitem": lines, "part": "select k as p_partkey, 1 as p_size from range(2000) t(k)"}
+    for t, sql in tables.items():
+        duckdb.sql(f"copy ({sql}) to '{tmp_path}/{t}.parquet' (format parquet)")
+    listed = {r["table"]: r["rows"] for r in QUERIES["v7_freeze"](spark, str(tmp_path)).collect()}
+    assert {"splits", "cohorts"} <= set(listed) and listed["cohorts"] > 0
