@@ -6,6 +6,7 @@ import pytest
 from test_queries import SF, rows_of
 
 from pairloom.plans.registered import ORACLES, QUERIES
+from pairloom.runtime import PIECE_SIZE, SHUFFLE_PIECES, fine_shuffles, tune, work_dir
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
@@ -59,3 +60,24 @@ def test_release_of_pairs_that_contradict_when_folded(spark, tmp_path):
         duckdb.sql(f"copy ({sql}) to '{tmp_path}/{t}.parquet' (format parquet)")
     listed = {r["table"]: r["rows"] for r in QUERIES["v7_freeze"](spark, str(tmp_path)).collect()}
     assert {"splits", "cohorts"} <= set(listed) and listed["cohorts"] > 0
+
+
+def test_a_feed_is_written_by_a_task_a_split(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(5):
+        duckdb.sql(f"copy (select * from ({LINES}) where l_orderkey % 5 = {k}) to '{tmp_path}/lineitem.parquet/{k}.parquet' (format parquet)")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        before = set(Path(work_dir(spark)).glob("pairloom/*/feed-*"))
+        assert QUERIES["c2_streamed_decisions"](spark, str(tmp_path)).count() > 0
+        (feed,) = set(Path(work_dir(spark)).glob("pairloom/*/feed-*")) - before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list(feed.glob("*.parquet"))) > 6
+
+
+def test_shuffles_of_table_queries_are_cut_finely(spark):
+    rows = fine_shuffles(spark).range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    rows.collect()
+    assert f", {SHUFFLE_PIECES}, ENSURE_REQUIREMENTS" in rows._jdf.queryExecution().toString()
+    assert tune(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") != PIECE_SIZE
