@@ -106,16 +106,20 @@ def replicate_metrics(
     distinct = reduced.select(*by, "score_name", "score").distinct()
     order = [F.col("score").desc()]
     sliced = with_slices(distinct, [*by, "score_name"], order)
-    cells = reduced.join(sliced, [*by, "score_name", "score"])
+    # A slice's cells lie together, so with few groups, whose weights Spark broadcasts by
+    # the size of their files, the counts of a score are summed before they are shuffled.
+    cells = reduced.join(sliced, [*by, "score_name", "score"]).repartition(*by, "score_name", "_slice")
     keys = ["block", *by, "score_name"]
     columns = range(BLOCK)
     parts = []
     for first in range(0, replicates, batch):
         last = min(first + batch, replicates)
+        weights = stage(draw_weights(groups, by, first, last, seed), "weights")
         counts = (
-            cells.join(draw_weights(groups, by, first, last, seed), [*by, "bootstrap_group"])
+            cells.join(weights, [*by, "bootstrap_group"])
             .groupBy(*keys, "_slice", "score")
             .agg(*[F.sum(F.col(v) * F.col(f"d{k}")).alias(f"{v}_{k}") for v in ("n", "positives") for k in columns])
+            .repartition(*keys, "_slice")
         )
         run = sliced_running_totals(counts, keys, order, [f"{v}_{k}" for v in ("n", "positives") for k in columns])
         done = run.groupBy(*keys).agg(
