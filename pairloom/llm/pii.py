@@ -3,14 +3,15 @@
 Generators propose overlapping spans. The base generators carry their own check
 (dotted numbers, check digits, digit counts); what passes is redacted in any
 case. The others propose what those checks miss, such as two card numbers in one
-run of digits. Boosted trees over format and context features, fitted on a
-bounded sample with the base verdicts as labels, score every proposal; per kind,
+run of digits. Boosted trees over format and context features, fitted on all
+proposals with the base verdicts as labels, score every proposal; per kind,
 the lowest score at which held-out proposals reach the wanted precision selects
-further spans.
+further spans. Proposals with equal features and label are one row with their number
+as its weight, so the trees see every proposal and the rows grow with what differs.
 
 Null and empty texts have no spans. Repeated rows are scored each; equal scores
-fall back to place and kind. An empty table, or a sample without both classes,
-adds nothing to the base spans. Only the named columns are read.
+fall back to place and kind. An empty table, or proposals without both classes,
+add nothing to the base spans. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from pairloom.llm.spans import found, places, written
 from pairloom.runtime import stage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Proposals that the trees are fitted and calibrated on, at most.
-SAMPLE_ROWS = 20_000
 PRECISION = 0.98
 CONTEXT = 24
 SEED = 11
@@ -189,33 +188,41 @@ def with_features(proposals: DataFrame) -> DataFrame:
     return proposals.withColumns({name: f.cast("double") for name, f in zip(FEATURES, features)})
 
 
-def fit_scorer(proposals: DataFrame, sample_rows: int = SAMPLE_ROWS):
+def fit_scorer(proposals: DataFrame, sample_rows: int | None = None):
     """The fitted trees and the threshold of each kind, or None without two classes.
 
-    The sample is the proposals of lowest seeded hash. A label says whether a base
-    verdict covers exactly this span. Every fifth proposal is held out for the
-    thresholds: the lowest score from which on the wanted precision holds.
+    All proposals count, or with ``sample_rows`` those of lowest seeded hash. A label
+    says whether a base verdict covers exactly this span. Every fifth proposal by hash is
+    held out for the thresholds: the lowest score from which on the wanted precision holds.
     """
-    spark = proposals.sparkSession
     order = F.xxhash64(F.lit(SEED), "row", "kind", "start", "stop")
-    sample = stage(
-        proposals.withColumn("order", order)
-        .orderBy("order", "row", "kind", "start", "stop", "base")
-        .limit(sample_rows)
-        .withColumn("label", F.col("base").cast("double"))
-        .coalesce(1),
-        "pii-sample",
+    proposals = proposals.withColumn("order", order)
+    if sample_rows is not None:
+        proposals = proposals.orderBy("order", "row", "kind", "start", "stop", "base").limit(sample_rows)
+    held = (F.pmod("order", F.lit(5)) == 0).alias("held")
+    key = ["kind", *FEATURES, "label", "held"]
+    cells = stage(
+        proposals.select("kind", *FEATURES, F.col("base").cast("double").alias("label"), held)
+        .groupBy(*key)
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+        .orderBy(*key),
+        "pii-cells",
     )
-    held = F.pmod("order", F.lit(5)) == 0
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    fitting = vectors.transform(sample.where(~held)).select("features", "label")
+    fitting = vectors.transform(cells.where("not held")).select("features", "label", "n")
     classes = fitting.agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return None
-    trees = GBTClassifier(maxIter=8, maxDepth=4, seed=SEED, stepSize=0.3).fit(fitting)
-    scored = _scored(trees, vectors, sample.where(held))
+    trees = GBTClassifier(maxIter=8, maxDepth=4, seed=SEED, stepSize=0.3, weightCol="n").fit(fitting)
+    # The trees give few scores, so what a kind's window orders does not grow with the proposals.
+    scores = (
+        _scored(trees, vectors, cells.where("held"))
+        .groupBy("kind", "score")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits"))
+    )
     above = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    reached = scored.withColumn("precision", F.avg("label").over(above)).where(F.col("precision") >= PRECISION)
+    precision = F.sum("hits").over(above) / F.sum("n").over(above)
+    reached = scores.withColumn("precision", precision).where(F.col("precision") >= PRECISION)
     thresholds = {r["kind"]: r["t"] for r in reached.groupBy("kind").agg(F.min("score").alias("t")).collect()}
     return trees, vectors, thresholds
 
@@ -227,7 +234,7 @@ def _scored(trees, vectors: VectorAssembler, rows: DataFrame) -> DataFrame:
     )
 
 
-def redactions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def redactions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int | None = None) -> DataFrame:
     """``doc_id, base, spans`` of every row: the base spans and all selected spans,
     each ``array<struct<place, start, stop, kind>>``, by kind and start.
 

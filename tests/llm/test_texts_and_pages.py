@@ -209,3 +209,21 @@ def test_extract_pairs_pages_by_path(spark):
     assert (text[900], text[901], text[902], text[903]) == ("Top solo End", "Top none End", "", "x")
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_pii_trees_are_fitted_on_all_proposals(spark):
+    # 16 of 60,000 proposals are of a rare kind; the 20,000 of lowest hash hold out none of them.
+    ids = spark.range(60_000).select("id", F.when(F.col("id") < 16, "ip").otherwise("email").alias("kind"))
+    proposals = ids.select(
+        F.struct(F.col("id").alias("doc_id"), F.lit(0).alias("version")).alias("row"),
+        "kind",
+        F.lit(0).cast("long").alias("start"),
+        F.lit(9).cast("long").alias("stop"),
+        ((F.col("kind") == "ip") | (F.col("id") % 2 == 0)).alias("base"),
+        *[
+            F.when(F.col("kind") == "ip", 2.0).otherwise((F.col("id") % 2).cast("double") * 3 + 1).alias(name)
+            for name in pii.FEATURES
+        ],
+    )
+    assert set(pii.fit_scorer(proposals)[2]) == {"email", "ip"}
+    assert set(pii.fit_scorer(proposals, 20_000)[2]) == {"email"}
