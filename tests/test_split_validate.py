@@ -330,3 +330,31 @@ def test_seed_sums_of_packed_pools(spark):
     assert got == want
     plan = seed_sums(df, first, last, ["n"])._jdf.queryExecution().toString()
     assert "Generate" not in plan and seed_sums(df.limit(0), first, last, ["n"]).count() == 0
+
+
+def test_validators_store_shared_tables_once_and_sort_no_texts(spark, tmp_path, monkeypatch):
+    from pairloom.operators.pairs import split_ambiguous
+    from pairloom.plans import split_queries
+
+    staged = []
+    monkeypatch.setattr(
+        split_queries, "stage", lambda df, label: staged.append((label, df)) or stage(df, label)
+    )
+    split_queries.broken_tables(spark, "/root/testdata/sf0.001", "evidence", "pairs")
+    # The evidence is read for the kept rows and the nodes, and all else comes from what is stored.
+    reads = {label: [f for f in df.inputFiles() if "lineitem" in f] for label, df in staged}
+    assert [label for label, files in reads.items() if files] == ["kept", "nodes"]
+    kept = dict(staged)["kept"]
+    assert "SortAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_torn_records_with_nulls(frame):
+    from pairloom.operators.validate import validate_evidence
+
+    schema = "evidence_id string, pair_id string, polarity string, source_database string, source_version string, source_record_id string, interaction_type string, detection_method string"
+    pairs = [("R1", "P1", "positive"), ("R1", "P1", "positive"), ("R2", "P1", "positive"), ("R2", "P1", None),
+             ("R3", None, "positive"), ("R3", "positive", None), ("R4", None, None), ("R4", None, None)]
+    evidence = frame([(f"E{i}", p, q, "d", "1", r, "", "") for i, (r, p, q) in enumerate(pairs)], schema)
+    found = validate_evidence(evidence, frame([("P1",)], "pair_id string"))
+    torn = {r.key for r in found.collect() if r.rule_id == "contradictory_source_record"}
+    assert torn == {"d|1|R2", "d|1|R3"}
