@@ -80,3 +80,10 @@ def test_shuffles_of_table_queries_are_cut_finely(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert int(fine_shuffles(spark).conf.get(name)) >= SHUFFLE_PIECES
     assert tune(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") != PIECE_SIZE
+
+
+def test_files_are_read_in_fine_pieces(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    given = tune(spark).conf.get(name)
+    assert fine_shuffles(spark).conf.get(name) == PIECE_SIZE != given
+    assert tune(spark).conf.get(name) == given
