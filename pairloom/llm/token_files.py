@@ -50,6 +50,8 @@ BLOCK_IDS = 1 << 18
 CACHED_WORDS = 1 << 19
 CACHED_BYTES = 32
 TEXTS = 512
+#: Printable ASCII that is neither letter, digit nor blank.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 _PLACES = np.arange(4, dtype=np.uint8)
 #: Lengths of the four values of every control byte.
@@ -110,6 +112,14 @@ class WordIds(dict):
         return ids
 
     def encoded(self, word: bytes) -> bytes:
+        # Most words are ASCII: the methods of bytes tell their letters from their marks.
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            low = stem.lower()
+            if low != word:
+                return self[low] + self[word[len(stem) :]] if len(stem) < len(word) else self[low]
+            ids = self.bytes_of
+            return b"".join([ids[t.id] for t in self.tokenizer.model.tokenize(word.decode())])
         text = word.decode()
         if found := self.plain(text):
             letters, marks = found.groups()

@@ -128,3 +128,13 @@ def test_query_on_the_small_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = tf.op13_token_files(spark, sf).collect()
     assert sorted((tuple(r) for r in got), key=repr) == expected(rows)
+
+
+def test_ascii_words_equal_library_and_take_no_pattern(encoder):
+    ids = tf.WordIds(Tokenizer.from_str(encoder.settings), encoder.width)
+    by_pattern, plain = [], ids.plain
+    ids.plain = lambda text: by_pattern.append(text) or plain(text)
+    texts = ["hello", "Hello,", "HELLO", "word.)!", "a" * 60, "B" * 60 + "_~"]
+    got = [np.frombuffer(ids[t.encode()], encoder.width).tolist() for t in texts]
+    assert got == [i[:-1] for i in library_ids(texts)]
+    assert set(by_pattern) == {",", ".)!", "_~"}
