@@ -35,11 +35,12 @@ EVIDENCE_COLUMNS = [
 def build_benchmark(
     observations: DataFrame, resolution: DataFrame, entities: DataFrame, prefix: str, group_prefix: str = "PDB"
 ) -> dict[str, DataFrame]:
-    """Normalised pairs, evidence, used entities and every quarantined row.
+    """Normalised pairs, evidence, used entities, every quarantined row and colliding ids.
 
     ``observations`` has raw_a, raw_b, namespace, evidence_role, polarity,
     negative_class, group_id and the evidence columns; ``resolution`` maps the
-    raw identifiers to entities.
+    raw identifiers to entities. A record may give one evidence id several payloads: all
+    stay in the evidence, ``collisions`` names the ids, and ``freeze`` refuses them.
     """
     usable, unresolved = split_unresolved(resolve_endpoints(observations, resolution))
     named = stage(canonicalise(usable, "resolved_a", "resolved_b", prefix), "observations")
@@ -48,7 +49,6 @@ def build_benchmark(
     groups = complex_groups(kept.select("pair_id", "group_id"), group_prefix)
     pairs = attach_groups(label_pairs(kept), groups)
     evidence, collisions = dedupe_evidence(with_evidence_id(kept).select(*EVIDENCE_COLUMNS))
-    require_ok(collisions)
     used, missing = used_entities(pairs, entities)
     require_ok(missing)
     accepted = F.lit("accepted")
@@ -63,7 +63,7 @@ def build_benchmark(
             F.col("quarantine_reason").alias("reason"),
         )
     )
-    return {"pairs": pairs, "evidence": evidence, "entities": used, "quarantine": quarantine}
+    return {"pairs": pairs, "evidence": evidence, "entities": used, "quarantine": quarantine, "collisions": collisions}
 
 
 def cluster_only_changes(

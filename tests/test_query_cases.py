@@ -50,6 +50,14 @@ def test_reasons_that_no_row_has_are_counted_as_zero(spark, tmp_path):
     assert ["quarantine_unresolved_endpoint", 0] in rows
 
 
+def test_payloads_that_share_an_evidence_id_all_count(spark, tmp_path):
+    parts = "select k as p_partkey, 1 as p_size from range(997) t(k)"
+    two = f"""
+      select l.* replace (9000000 as l_orderkey, 4 as l_linenumber, q as l_quantity, 'A' as l_returnflag)
+      from (select * from ({LINES}) where l_suppkey * 31 % 997 <> l_partkey % 997 limit 1) l, (values (10.0), (48.0)) v(q)"""
+    check(spark, tmp_path, "v7_build_benchmark", lineitem=f"{LINES} union all {two}", part=parts)
+
+
 def test_release_of_pairs_that_contradict_when_folded(spark, tmp_path):
     lines = f"""
       select l.* replace (l_partkey + 997 * k as l_partkey, l_suppkey + 997 * k as l_suppkey, l_orderkey + 1000000 * k as l_orderkey,

@@ -311,6 +311,19 @@ def test_build_and_freeze(spark, frame):
         freeze(spark, bad, out + "-4", "P", **options)
 
 
+def test_colliding_evidence_is_reported_and_not_frozen(spark, frame):
+    rows, resolution, entities = build_inputs(frame)
+    again = rows.where("source_record_id = 'r1'").withColumn("interaction_type", F.lit("MI:0915"))
+    built = build_benchmark(rows.unionByName(again), resolution, entities, "P")
+    assert [(r["rule_id"], r["message"]) for r in built["collisions"].collect()] == [("evidence_id_collision", "2 rows")]
+    assert built["evidence"].where("source_record_id = 'r1'").count() == 2
+    inputs = {n: stage(built[n], n) for n in ("pairs", "evidence", "entities")}
+    out = f"{work_dir(spark)}/freeze-{uuid.uuid4().hex}"
+    with pytest.raises(ValueError, match="duplicate_evidence"):
+        freeze(spark, inputs, out, "P", first_seed=0, last_seed=30, id_shape=r"^N\d{3}$", taxon=None, rules=[])
+    assert not exists(spark, out)
+
+
 def test_seed_sums_of_packed_pools(spark):
     """Sums per seed and pools against plain loops, over words that are only part full."""
     rng = random.Random(3)
