@@ -95,3 +95,20 @@ def test_files_are_read_in_fine_pieces(spark):
     given = tune(spark).conf.get(name)
     assert fine_shuffles(spark).conf.get(name) == PIECE_SIZE != given
     assert tune(spark).conf.get(name) == given
+
+
+def test_a_stream_has_few_batches_and_its_state_on_disk(spark, tmp_path):
+    """Every batch costs a task for each piece of the state; the default store copies all of it."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(9):
+        duckdb.sql(f"copy (select * from ({LINES}) where l_orderkey % 9 = {k}) to '{tmp_path}/lineitem.parquet/{k}.parquet' (format parquet)")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    names = ("streamed", "offsets")
+    try:
+        before = {n: set(Path(work_dir(spark)).glob(f"pairloom/*/{n}-*")) for n in names}
+        assert QUERIES["c2_streamed_decisions"](spark, str(tmp_path)).count() > 0
+        streamed, offsets = ((set(Path(work_dir(spark)).glob(f"pairloom/*/{n}-*")) - before[n]).pop() for n in names)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list(streamed.glob("batch_id=*"))) == 2
+    assert list(offsets.glob("state/0/*/*.changelog"))
